@@ -2,7 +2,9 @@
 
 Terms are the words of a text (A-Z lower-cased, ``[0-9a-z]`` and all beyond ASCII) and their beginnings of
 PREFIXES bytes, hashed to 2**bits buckets. Buckets are counted by label over all labelled rows, map-side into
-dense vectors; those that tell the labels apart best, at most ``features``, enter the model. The machine is
+dense vectors. Those enter the model whose log odds differ by more standard errors than the largest of as many
+buckets without any difference would, sqrt(2 ln n), or that are among the LEAST_FEATURES best; FEATURES at most.
+The machine is
 
     score(x) = sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)),
 
@@ -32,6 +34,7 @@ from . import _text
 PREFIXES = (4, 5, 6)
 BITS = 18
 FEATURES = 8192
+LEAST_FEATURES = 24
 SAMPLE = 12_000
 FACTORS = 6
 BROADCAST_ROWS = 2_000_000
@@ -152,13 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
         seen = np.flatnonzero(total[0] + total[1])
         yield pa.RecordBatch.from_arrays([_text.ints(seen), _text.ints(total[0][seen]), _text.ints(total[1][seen])], names=["bucket", "n0", "n1"])
 
-    # Smoothed log odds over their standard error; at most 2**bits rows reach this sort, n_features the driver.
-    odds = F.log((F.col("n1") + 0.5) / (n1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (n0 - F.col("n0") + 0.5))
-    error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = texts.select("_t", "_y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = best.select("bucket", F.abs(odds / error).alias("z")).filter("z > 2").orderBy(F.desc("z"), "bucket").limit(n_features).collect()
+    # 2**bits rows at most come to the driver, to be ranked by smoothed log odds over their standard error.
+    seen = texts.select("_t", "_y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().sort_values("bucket")
+    a, b = seen["n0"].to_numpy() + 0.5, seen["n1"].to_numpy() + 0.5
+    z = np.abs(np.log(b / (n1 + 1 - b)) - np.log(a / (n0 + 1 - a))) / np.sqrt(1 / a + 1 / b)
+    order = np.argsort(-z, kind="stable")[:n_features]
+    best = seen["bucket"].to_numpy()[order[(z[order] > np.sqrt(2 * np.log(max(len(z), 2)))) | (np.arange(len(order)) < LEAST_FEATURES)]]
     column_of = none
-    column_of[[r[0] for r in best]] = np.arange(len(best))
+    column_of[best] = np.arange(len(best))
 
     # The rows of either label whose hash is least: a threshold on the hash, no sort.
     part = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / (1 << 30)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, decontaminate, langid, media, toxicity
+from . import _store, decontaminate, langid, licenses, media, mixing, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,28 @@ def _fold(col: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: the path of a tokenizers file, by default the byte-level one of the installed vocabularies."""
+    path = _store.place(spark, "token-ids")
+    tokens.write(_table(spark, sf_dir, "documents"), path, tokenizer or vocabulary())
+    return tokens.read(spark, path)
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score. A null doc_id is in the training part, as its fold isn't known to be 1."""
     docs = _table(spark, sf_dir, "documents")
@@ -27,6 +49,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(_table(spark, sf_dir, "documents"), _store.place(spark, "telephony")))
 
@@ -43,7 +69,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_mixing": op2_mixing,
+    "op3_token_ids": op3_token_ids,
     "op4_language_id": op4_language_id,
+    "op5_licenses": op5_licenses,
     "op6_telephony_audio": op6_telephony_audio,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,

@@ -30,7 +30,7 @@ from . import _text, pfor
 END = 2
 SEGMENT = 1 << 20
 #: Pieces a worker remembers, and their characters; beyond either it starts anew.
-PIECES, CHARACTERS = 300_000, 8_000_000
+PIECES, CHARACTERS = 600_000, 16_000_000
 #: Texts of these characters split alike: classes of letters and numbers agree up to U+024F but for a few.
 _UNSURE = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -65,33 +65,36 @@ class Encoder:
         self.numbers, self.characters, self.used = _Numbers(), 0, 0
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32)
 
-    def _add(self, lists: list[np.ndarray]) -> None:
-        size = np.array([len(x) for x in lists], np.int64)
-        total = int(size.sum())
-        while self.used + total > len(self.ids):
+    def _add(self, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """The ids, one after the other, of the pieces with these numbers."""
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        if total:
-            self.ids[self.used : self.used + total] = np.concatenate(lists)
-        self.used += total
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[which] = self.used + np.cumsum(size) - size
+        self.size[which] = size
+        self.used += len(ids)
 
     def _learn(self) -> None:
         """Encode the new pieces; runs of a space and letters are joined, as the pattern parts them again."""
         new, self.numbers.new = self.numbers.new, []
         self.characters += sum(map(len, new))
-        found: dict[int, np.ndarray] = {}
-        plain = [k for k, x in enumerate(new) if _PLAIN.match(x)]
+        base = len(self.start)
+        self.start, self.size = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.size))
+        rest, plain = [], []
+        for k, x in enumerate(new):
+            (plain if _PLAIN.match(x) else rest).append(k)
         for i in range(0, len(plain), 4096):
             own = plain[i : i + 4096]
             got = self.tokenizer.encode("".join([new[k] for k in own]), add_special_tokens=False)
-            word, ids = np.array(got.word_ids, np.int64), np.array(got.ids, np.uint32)
+            word = np.array(got.word_ids, np.int64)
             if len(word) and word[-1] == len(own) - 1 and (np.diff(word) >= 0).all():
-                found.update(zip(own, np.split(ids, np.searchsorted(word, np.arange(1, len(own)))), strict=True))
-        rest = [k for k in range(len(new)) if k not in found]
-        for k, got in zip(rest, self.tokenizer.encode_batch([new[k] for k in rest], add_special_tokens=False), strict=True):
-            found[k] = np.array(got.ids, np.uint32)
-        self._add([found[k] for k in range(len(new))])
+                self._add(base + np.array(own), np.array(got.ids, np.uint32), np.bincount(word, minlength=len(own)))
+            else:
+                rest += own
+        for i in range(0, len(rest), 4096):
+            own = rest[i : i + 4096]
+            lists = [x.ids for x in self.tokenizer.encode_batch([new[k] for k in own], add_special_tokens=False)]
+            self._add(base + np.array(own), np.array([y for x in lists for y in x], np.uint32), np.array([len(x) for x in lists], np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > PIECES or self.characters > CHARACTERS:
@@ -114,8 +117,19 @@ class Encoder:
         return [whole.get(k, ids[at[k] : at[k + 1]]) for k in range(len(texts))]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(content: str) -> Encoder:
+    """The process's encoder for a tokenizers file's content; the next task finds the pieces that it knows."""
+    if content not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[content] = Encoder(content)
+    return _ENCODERS[content]
+
+
 def _segments(batches: Iterator[pa.RecordBatch], content: str, end: int) -> Iterator[pa.RecordBatch]:
-    part, seq, before, encoder = TaskContext.get().partitionId(), 0, 0, Encoder(content)
+    part, seq, before, encoder = TaskContext.get().partitionId(), 0, 0, encoder_of(content)
     names: list = []
     sizes: list[int] = []
     parts: list[np.ndarray] = []

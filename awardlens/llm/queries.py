@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, decontaminate, jaccard, langid, licenses, media, mixing, quality, tokens, toxicity
+from . import _store, decontaminate, jaccard, langid, licenses, media, mixing, quality, repeats, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(_table(spark, sf_dir, "documents"), _store.place(spark, "telephony")))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_licenses": op5_licenses,
     "op6_telephony_audio": op6_telephony_audio,
+    "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,

@@ -121,7 +121,7 @@ def _weights(sources: DataFrame, budget: int | None, block_tokens: int, **option
     """For each source its tokens, rows, weight, budget, epochs and tokens of a block."""
     facts = sources.filter("t > 0").agg(F.count("*"), F.sum("t"), F.min("t"), F.max("t")).first()
     if not facts[0]:
-        return sources.select("*", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"), F.lit(1).cast("long").alias("epochs"), F.lit(int(block_tokens)).cast("long").alias("quota"))
+        return sources.select("*", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"), F.lit(0).cast("long").alias("whole"), F.lit(1).cast("long").alias("epochs"), F.lit(int(block_tokens)).cast("long").alias("quota"))
     n, total = int(facts[0]), int(facts[1])
     known = Totals(n, total, facts[2] / total, facts[3] / total)
     shares = sources.filter("t > 0").select((F.col("t") / F.lit(float(total))).alias("p"))
@@ -133,9 +133,10 @@ def _weights(sources: DataFrame, budget: int | None, block_tokens: int, **option
     spent = F.greatest(F.round(F.col("weight") * F.lit(size), 0).cast("long"), F.lit(1))
     out = sources.withColumn("weight", weight)
     out = out.withColumn("budget", F.when(F.col("t") > 0, spent).otherwise(F.lit(0)))
-    epochs = F.when(F.col("t") > 0, F.ceil(F.col("budget") / F.greatest(F.col("t"), F.lit(1)))).otherwise(F.lit(1)).cast("long")
+    whole = F.expr("if(t > 0, budget div greatest(t, 1), 0)")
+    epochs = F.when(F.col("t") > 0, F.col("whole") + (F.col("budget") > F.col("whole") * F.col("t")).cast("long")).otherwise(F.lit(1)).cast("long")
     quota = F.greatest(F.round(F.col("weight") * F.lit(float(block_tokens)), 0).cast("long"), F.lit(1))
-    return out.withColumn("epochs", epochs).withColumn("quota", quota)
+    return out.withColumn("whole", whole).withColumn("epochs", epochs).withColumn("quota", quota)
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def _streams(own: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     within = Window.partitionBy(*keys).orderBy("h", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_own", F.sum("tokens").over(within) - F.col("tokens")).join(sums, keys)
     rows = rows.withColumn("start", F.col("epoch") * F.col("t") + F.col("_base") + F.col("_own"))
-    return rows.filter((F.col("start") < F.col("budget")) | (F.col("t") == 0))
+    return rows.filter((F.col("epoch") < F.col("whole")) | (F.col("start") < F.col("budget")) | (F.col("t") == 0))
 
 
 def plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -194,9 +195,8 @@ def realise(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col:
     the last one's within the budget, so the texts are never shuffled.
     """
     own, sources = weights(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    last = sources.select("source", "t", "rows", "budget", "quota", "weight", "epochs")
-    # Only the last epoch is looked at, as a stream of its own.
-    tail = last.withColumn("whole", F.col("epochs") - 1)
+    # Only the epoch after the whole ones is looked at, as a stream of its own.
+    tail = sources.select("source", "t", "rows", "budget", "whole")
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("rows") / F.lit(float(ROWS_A_BUCKET))) / F.lit(math.log(16.0)))).cast("int")
     rows = own.join(_small(tail.withColumn("digits", digits)), "source").withColumn("h", _order(seed, F.col("whole"), F.col("unit")))
     rows = rows.withColumn("bucket", F.substring("h", F.lit(1), F.col("digits")))

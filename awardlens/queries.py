@@ -337,7 +337,8 @@ _REASONS = """list_filter([CASE WHEN ratio IS NULL THEN 'PEER_BENCHMARK_UNAVAILA
   CASE WHEN is_first_contract_in_project THEN 'FIRST_CONTRACT_IN_PROJECT' ELSE 'ESTABLISHED_PROJECT' END,
   CASE WHEN supplier_is_domestic THEN 'DOMESTIC_SUPPLIER' WHEN NOT supplier_is_domestic THEN 'FOREIGN_SUPPLIER' END], lambda x: x IS NOT NULL)"""
 _SEVERITY = ", ".join(f"('{n}', '{s}')" for n, (s, _) in flags.FLAGS.items())
-_CUTS = f"""{_SCORED}, cuts AS (SELECT f, quantile_cont(p, 1 - f) AS t FROM scored, (SELECT unnest([{', '.join(map(str, metrics.FRACTIONS))}])::DOUBLE AS f) GROUP BY f),
+_CUTS = f"""{_SCORED}, points AS (SELECT quantile_cont(p, [{', '.join(f'1 - {f}::DOUBLE' for f in metrics.FRACTIONS)}]) AS q FROM scored),
+  cuts AS (SELECT unnest([{', '.join(map(str, metrics.FRACTIONS))}])::DOUBLE AS f, unnest(q) AS t FROM points),
   tbl AS (SELECT f AS flag_rate_target, round(t, 6) AS threshold, count(*) FILTER (p >= t) AS flagged, round(count(*) FILTER (p >= t) / count(*) * 100, 2) AS flagged_pct,
     round(count(*) FILTER (p >= t AND y = 1) / greatest(1, sum(y)), 4) AS recall, round(count(*) FILTER (p >= t AND y = 1) / greatest(1, count(*) FILTER (p >= t)), 4) AS precision FROM cuts, scored GROUP BY f, t)"""
 

@@ -1,8 +1,10 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
 A text's units are its lines, its paragraphs (parted by blank lines) and the whole. A unit is normalised (A-Z
-lower-cased, everything but a-z, 0-9 one space) and counts its words; it is compared with a template only if a
-coefficient of the threshold is possible at their sizes, b templates' and a unit's bigrams: t/(2-t) <= a/b <= (2-t)/t.
+lower-cased, everything but a-z, 0-9 one space) and gives its set of word bigrams; it is compared with a template
+only if a coefficient of the threshold t is possible at their sizes, a unit's and b template's bigrams:
+t/(2-t) <= a/b <= (2-t)/t. As a match shares at least t/(2-t) of the template's bigrams, it has one of the template's
+probes, words that more than the others of its bigrams hold; a text without any template's probe has no units made.
 Everything is a projection of the row: array functions alone, no shuffle.
 
 Defined results: null and empty texts, and units of one word, match nothing; of equally close templates the first by
@@ -55,17 +57,27 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return min(able), max(able)
 
 
-def _units(text: Column, most_words: int) -> Column:
-    """The distinct normalised units of a text that have 2 to most_words words."""
-    plain = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    plain = F.regexp_replace(plain, "[^a-z0-9\n]+", " ")
+def probes(own: list[str], threshold: float) -> set[str]:
+    """Words, long ones first, one of which is in any unit that matches the template."""
+    spare = len(own) * (2 - 2 * threshold) / (2 - threshold)
+    chosen: set[str] = set()
+    for word in sorted({w for x in own for w in x.split()}, key=lambda w: (-len(w), w)):
+        if sum(not chosen.isdisjoint(x.split()) for x in own) > spare:
+            break
+        chosen.add(word)
+    return chosen
+
+
+def _plain(text: Column) -> Column:
+    """Normalised but for its lines."""
+    return F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9\n]+", " ")
+
+
+def _units(plain: Column) -> Column:
+    """The distinct normalised units of two words or more."""
     clean = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
-    lines = F.transform(F.split(plain, "\n"), lambda u: F.trim(u))
-    # Only a text with a blank line has other paragraphs than itself; units too long for any template are left as they are.
-    paragraphs = F.when(plain.rlike("\n *\n"), F.transform(F.split(plain, "\n *\n"), clean)).otherwise(F.array().cast("array<string>"))
-    units = F.concat(lines, paragraphs, F.array(clean(plain)))
-    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-    return F.array_distinct(F.filter(units, lambda u: spaces(u).between(1, most_words - 1)))
+    units = F.concat(F.split(plain, "\n"), F.split(plain, "\n *\n"), F.array(plain))
+    return F.filter(F.array_distinct(F.transform(units, clean)), lambda u: F.contains(u, F.lit(" ")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,10 +96,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
         return F.element_at(F.transform(F.array(own), compare), 1)
 
-    # A repeated bigram makes a unit's set smaller than its words; the sizes that count are the set's.
-    longest = max((hi for *_, hi in known), default=0)
-    units = docs.select(F.col(id_col).alias("doc_id"), _units(F.col(text_col), max(4 * longest, 2)).alias("units"))
-    matches = F.filter(F.transform("units", best), lambda m: m["dice"] >= threshold) if known else F.array().cast("array<struct<dice:double,k:int>>")
+    none = F.array().cast("array<struct<dice:double,k:int>>")
+    wanted = sorted(set().union(*(probes(own, threshold) for _, own, *_ in known)))
+    units = docs.select(F.col(id_col).alias("doc_id"), _plain(F.col(text_col)).alias("plain"))
+    # The probes are looked up in the words of the row; a null text has none.
+    able = F.coalesce(F.arrays_overlap(F.split(F.translate("plain", "\n", " "), " "), F.array(*map(F.lit, wanted))), F.lit(False)) if known else F.lit(False)
+    matches = F.when(able, F.filter(F.transform(_units(F.col("plain")), best), lambda m: m["dice"] >= threshold)).otherwise(none) if known else none
     names = F.array(*(F.lit(name) for name, *_ in known)) if known else F.array().cast("array<string>")
     # Evaluated once for each row: the matches are made elements of an array, which Catalyst doesn't copy into what follows.
     top = F.array_max("matches")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -16,3 +17,32 @@ def place(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/awardlens-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows of a batch that goes to Python; texts may be long, and a batch is held in memory on both sides.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with batches of BATCH_ROWS at most."""
+    now = int(spark.conf.get(_ROWS))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    return spark
+
+
+def kept(table: DataFrame, name: str) -> DataFrame:
+    """The table, written to a new place and read from there: what made it isn't run again.
+
+    The driver's garbage is collected, as Spark deletes the shuffle files of a finished step only when the driver no
+    longer refers to them; else all steps' files would lie on the disks together.
+    """
+    spark = table.sparkSession
+    path = place(spark, name)
+    table.write.option("compression", "zstd").parquet(path)
+    schema = table.schema
+    del table
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

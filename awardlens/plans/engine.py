@@ -57,4 +57,4 @@ def classify_contract(spark: SparkSession, record: Mapping[str, Any], artefacts:
         raise
     except Exception:
         row = classify_records(spark, [record], replace(artefacts, model=None, detector=None, config=replace(artefacts.config, require_detector=True)), timestamp).first()
-    return row.drop("row_id").asDict(True) if hasattr(row, "drop") else {k: v for k, v in row.asDict(True).items() if k not in ("row_id", "contract_id")}
+    return {k: v for k, v in row.asDict(True).items() if k not in ("row_id", "contract_id")}

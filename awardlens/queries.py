@@ -6,6 +6,7 @@ Amounts there are uniform, so the settings are lower than the defaults; the fisc
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,6 +149,26 @@ def anomaly_report(s: SparkSession, d: str) -> DataFrame:
     return reports.override_rescue(rows, 0.5)
 
 
+def anomaly_rates(s: SparkSession, d: str) -> DataFrame:
+    """Flag rates by split, on the same made-up verdict."""
+    p = ((F.col("contract_id") * 7919 + F.expr("cast(substring(supplier_id, 2) as bigint)") * 104729) % 10007) % 37 == 0
+    return reports.anomaly_rates(_features(s, d).select(metrics.split_name(CONFIG).alias("split"), metrics.target(CONFIG).alias("y"), p.alias("anomaly_flag")))
+
+
+def batch_agreement(s: SparkSession, d: str) -> DataFrame:
+    """Outcomes under two settings, by how many rows they differ."""
+    checked = _checked(s, d).withColumn("key", F.concat_ws("-", *_ID))
+    name = F.coalesce(rules.cohort_name("cohort_rank"), F.lit("DEFERRED")).alias("outcome")
+    one, other = (rules.apply(checked, c).select("key", name) for c in (CONFIG, replace(CONFIG, amount_multiple=1.7)))
+    return reports.disagreements(one, other, "key", ["outcome"])
+
+
+def reason_meanings(s: SparkSession, d: str) -> DataFrame:
+    """Every code that rules and flags give on the table, with whether it has a meaning of its own."""
+    codes = _ruled(s, d).select(F.explode("rule_reasons").alias("code")).distinct()
+    return cohort.describe(codes).select("code", F.col("meaning").startswith("Rule fired").alias("is_rule"), (F.length("meaning") > 0).alias("described"))
+
+
 def _lr(s: SparkSession, d: str):
     checked, made = engine.validated(_raw(s, d), CONFIG)
     left = engine.eligible(checked, CONFIG)
@@ -223,6 +244,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "share_flagged": lambda s, d: metrics.share_flagged_in_target(_scored(s, d), 0.8).select(F.round("share_flagged_in_target", 6).alias("share_flagged_in_target")),
     "evaluate": lambda s, d: metrics.evaluate(_scored(s, d), 0.8, "id"),
     "override_rescue": anomaly_report,
+    "anomaly_rates": anomaly_rates,
+    "batch_agreement": batch_agreement,
+    "reason_meanings": reason_meanings,
+    "method_taxonomy": lambda s, d: reports.method_taxonomy(s, CONFIG).select("method", "class"),
+    "flag_dimension": lambda s, d: flags.dimension(s).select("flag", "severity"),
+    "rule_catalogue": lambda s, d: rules.catalogue(s, CONFIG).select("rule_id", "cohort", "status"),
     "narrative_codes": narrative_codes,
     "rules_only_cohorts": rules_only_cohorts,
     "audit_records": audit_records,
@@ -336,6 +363,7 @@ _REASONS = """list_filter([CASE WHEN ratio IS NULL THEN 'PEER_BENCHMARK_UNAVAILA
   CASE WHEN supplier_prior_contract_count IS NULL THEN 'SUPPLIER_HISTORY_UNAVAILABLE' WHEN supplier_prior_contract_count > 0 THEN 'SUPPLIER_HAS_PRIOR_CONTRACTS' ELSE 'SUPPLIER_HAS_NO_PRIOR_CONTRACTS' END,
   CASE WHEN is_first_contract_in_project THEN 'FIRST_CONTRACT_IN_PROJECT' ELSE 'ESTABLISHED_PROJECT' END,
   CASE WHEN supplier_is_domestic THEN 'DOMESTIC_SUPPLIER' WHEN NOT supplier_is_domestic THEN 'FOREIGN_SUPPLIER' END], lambda x: x IS NOT NULL)"""
+_STATUS = [f"('{r.id}', 'EXCEPTIONAL', '{'active' if r.active else 'inactive'}')" for r in rules.RULES]
 _SEVERITY = ", ".join(f"('{n}', '{s}')" for n, (s, _) in flags.FLAGS.items())
 _CUTS = f"""{_SCORED}, points AS (SELECT quantile_cont(p, [{', '.join(f'1 - {f}::DOUBLE' for f in metrics.FRACTIONS)}]) AS q FROM scored),
   cuts AS (SELECT unnest([{', '.join(map(str, metrics.FRACTIONS))}])::DOUBLE AS f, unnest(q) AS t FROM points),
@@ -394,6 +422,12 @@ ORACLE_SQL: dict[str, str] = {
     "share_flagged": f"{_SCORED} SELECT round(avg(y) FILTER (p >= 0.8), 6) AS share_flagged_in_target FROM scored",
     "evaluate": f"{_SCORED}, r AS (SELECT y, (rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0) AS r, row_number() OVER (ORDER BY p DESC, id) AS k, p FROM scored) SELECT count(*) AS n, round(avg(y), 4) AS base_rate, round(avg((p - y) ** 2), 5) AS brier, round(avg(y) FILTER (p >= 0.8), 4) AS share_flagged_in_target, round(avg((p >= 0.8)::INT), 4) AS flagged_share_of_population, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 4) AS auc, round(avg(y) FILTER (k <= (SELECT greatest(1, floor(count(*) * 0.1)) FROM scored)), 4) AS precision_at_top_decile FROM r",
     "override_rescue": f"{_SCORED}, f AS (SELECT *, round(p * 10007, 0) % 37 = 0 AS flag FROM scored) SELECT count(*) FILTER (p < 0.5) AS below_threshold, count(*) FILTER (p < 0.5 AND flag) AS promoted, round(avg(y) FILTER (p < 0.5 AND flag), 4) AS positive_rate_promoted, round(avg(y) FILTER (p < 0.5 AND NOT flag), 4) AS positive_rate_left FROM f",
+    "anomaly_rates": f"{_SCORED}, f AS (SELECT *, round(p * 10007, 0) % 37 = 0 AS flag FROM scored) SELECT CASE WHEN fiscal_year BETWEEN 1996 AND 1998 THEN 'train' WHEN fiscal_year = 1999 THEN 'validate' WHEN fiscal_year IN (2000, 2001) THEN 'test' WHEN fiscal_year = 2002 THEN 'truncated' END AS split, count(*) AS n, round(avg(flag::INT), 4) AS flag_rate, round(avg(y) FILTER (flag), 4) AS positive_rate_flagged, round(avg(y) FILTER (NOT flag), 4) AS positive_rate_other FROM f GROUP BY 1",
+    "batch_agreement": f"{_RULED} SELECT count(*) FILTER (ok AND len(t) = 0 AND coalesce(ratio > 1.7, false)) AS disagreements, count(*) AS rows FROM ruled",
+    "reason_meanings": f"{_RULED} SELECT DISTINCT code, code IN ({_in(_PREDICATES)}) AS is_rule, true AS described FROM (SELECT unnest(CASE WHEN NOT ok THEN ['AMOUNT_NON_POSITIVE'] WHEN len(t) > 0 THEN t ELSE list_transform(u, lambda x: 'UNEVALUABLE::' || x) END) AS code FROM ruled)",
+    "method_taxonomy": f"SELECT * FROM (VALUES {', '.join(f'({_in([m])}, {_in([k])})' for m, (k, _) in CONFIG.methods.items())}) x(method, class)",
+    "flag_dimension": f"SELECT * FROM (VALUES {_SEVERITY}) x(flag, severity)",
+    "rule_catalogue": f"SELECT * FROM (VALUES {', '.join(_STATUS)}) x(rule_id, cohort, status)",
     "narrative_codes": f"{_FLAGS} SELECT {_ID_SQL}, array_to_string(list_sort({_REASONS}), ',') AS codes FROM flagged",
     "rules_only_cohorts": f"{_RULED}, c AS (SELECT CASE WHEN outcome = 'DEFERRED' THEN 'HIGH_ATTENTION' ELSE outcome END AS cohort FROM ruled) SELECT d.cohort, count(c.cohort) AS rows, round(count(c.cohort) / (SELECT count(*) FROM c) * 100, 3) AS pct FROM (VALUES ('NOT_ELIGIBLE'), ('EXCEPTIONAL'), ('HIGH_ATTENTION'), ('ROUTINE')) d(cohort) LEFT JOIN c ON c.cohort = d.cohort GROUP BY 1",
     "audit_records": f"{_RULED} SELECT contract_id, CASE WHEN outcome = 'DEFERRED' THEN 'HIGH_ATTENTION' ELSE outcome END AS cohort, CASE WHEN NOT ok THEN 'AMOUNT_NON_POSITIVE' ELSE array_to_string(list_sort(list_distinct(list_concat(CASE WHEN len(t) > 0 THEN t WHEN len(u) > 0 THEN list_transform(u, lambda x: 'UNEVALUABLE::' || x) ELSE ['MODEL_UNAVAILABLE'] END, {_REASONS}))), ',') END AS reason_codes, len(list_filter(flags, lambda x: x NOT IN ({_in([n for n, (s, _) in flags.FLAGS.items() if s == 'NOTICE'])}))) > 0 AS data_quality_flag, NOT ok AS data_quality_fatal, count(*) AS rows, max(supplier_name_raw) AS last_supplier FROM ruled GROUP BY ALL",

@@ -4,8 +4,8 @@ Documents are dealt by range of doc_id and sorted within a range. Each task enco
 segments of at least SEGMENT ids: the documents' ids and lengths, and an image of blocks (see pfor). A segment says
 how many ids of its part come before it, so a document's start in the whole stream needs a sum over parts alone.
 
-Texts are encoded by the given tokenizers file. Its splitting pattern is applied first and the library encodes each
-distinct piece once; a text with characters for which Python's classes might differ from the pattern's goes to the
+Texts are encoded by the given tokenizers file. Its splitting pattern is applied to the bytes first, and the library
+encodes each distinct piece once; a text with other characters than ASCII and Latin letters up to U+024F goes to the
 library as it is.
 
 Defined results: null and empty texts are the end id alone; documents with one doc_id come in the order of a hash of
@@ -15,7 +15,7 @@ are read. Strings of special tokens are ordinary text.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,45 +25,126 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _text, pfor
+from . import _store, _text, pfor
 
 END = 2
 SEGMENT = 1 << 20
-#: Pieces a worker remembers, and their characters; beyond either it starts anew.
-PIECES, CHARACTERS = 600_000, 16_000_000
-#: Texts of these characters split alike: classes of letters and numbers agree up to U+024F but for a few.
-_UNSURE = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(r" [^\W\d_]+\Z")
-
-
-class _Numbers(dict):
-    """A number for each piece, in order of appearance."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+_PART = 1 << 19
+#: Pieces a worker remembers; beyond, it keeps those that came again. Longer ones than LONGEST aren't kept.
+PIECES, LONGEST = 500_000, 64
+_SLOTS = 21
+_OTHER, _LETTER, _DIGIT, _SPACE = range(4)
+#: The kind of a byte. Beyond ASCII only U+00C0 to U+024F is split here, all letters but for two signs.
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = _LETTER
+_KIND[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = _SPACE
+_UNSURE = np.zeros(256, bool)
+_UNSURE[0x1C:0x20] = _UNSURE[0xC0:0xC3] = _UNSURE[0xCA:] = True
+
+
+def sure(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which documents of a chunk have no characters but those that split knows."""
+    bad = _UNSURE[b]
+    lead = np.flatnonzero(b[:-1] == 0xC3)
+    sign = lead[(b[lead + 1] == 0x97) | (b[lead + 1] == 0xB7)]
+    bad[sign] = True
+    c = np.concatenate([[0], np.cumsum(bad)])
+    return c[at[1:]] == c[at[:-1]]
+
+
+def split(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the pieces of a chunk's documents begin; a piece ends where the next begins.
+
+    That is the pattern of byte-level vocabularies: an English ending after an apostrophe; letters, digits or other
+    signs with a space before; white space, whose last character is left to what follows, if it is a space, or is a
+    piece of its own.
+    """
+    if not len(b):
+        return np.zeros(0, np.int64)
+    kind = _KIND[b]
+    begins = np.ones(len(b), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    border = np.zeros(len(b) + 1, bool)
+    border[at] = True
+    begins |= border[:-1]
+    run = np.flatnonzero(begins)
+    # Runs that follow white space in their document.
+    after = run[1:][(kind[run[1:] - 1] == _SPACE) & ~border[run[1:]]]
+    spaced = after[b[after - 1] == 0x20]
+    # A lone apostrophe that no space belongs to, before letters.
+    mark = run[b[run] == 0x27]
+    mark = mark[mark + 1 < len(b)]
+    mark = mark[(kind[mark + 1] == _LETTER) & ~border[mark + 1]]
+    mark = mark[(mark == 0) | border[mark] | (b[np.maximum(mark - 1, 0)] != 0x20)]
+    if len(mark):
+        one = b[mark + 1]
+        two = np.where((mark + 2 < len(b)) & ~border[np.minimum(mark + 2, len(b))], b[np.minimum(mark + 2, len(b) - 1)], 0)
+        long = ((one == 0x72) & (two == 0x65)) | ((one == 0x76) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C))
+        size = np.where(np.isin(one, [0x73, 0x74, 0x6D, 0x64]), 1, np.where(long, 2, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        begins[mark + 1] = False
+        end = mark + 1 + size
+        begins[end[end < len(b)]] = True
+    begins[after - 1] = True
+    begins[spaced] = False
+    return np.flatnonzero(begins)
 
 
 class Encoder:
     """Ids of texts by a tokenizers file's content."""
 
     def __init__(self, content: str):
+        # A worker is one of several processes on its machine.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
         # Only a byte-level model that splits by its usual pattern, without a normalizer, is taken apart.
         self.apart = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
-        self._forget()
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for name, k in self.tokenizer.get_vocab().items():
+            self.opens[k] = name.startswith("\u0120")
+        # Of each piece its hash, where its ids are and how many, how often it came, and whether it may be kept.
+        self.n, self.used, self.ids = 0, 0, np.zeros(1 << 16, np.uint32)
+        self.key, self.start, self.size, self.hits, self.short = (np.zeros(1 << 12, kind) for kind in (np.uint64, np.int64, np.int32, np.int32, bool))
+        self._keep(np.zeros(0, np.int64))
+
+    # Pieces are known by a 64-bit hash, each with a number. Its number is in the first table at the slot of its hash's
+    # upper bits, or, if that was taken, in the second at the slot of its lower bits; one that is pushed out is new again.
+
+    def _enter(self, first: int) -> None:
+        number, own = np.arange(first, self.n, dtype=np.int32), self.key[first : self.n]
+        upper, lower = own >> np.uint64(64 - _SLOTS), own & np.uint64((1 << _SLOTS) - 1)
+        free = self.one[upper] < 0
+        self.one[upper[free]] = number[free]
+        self.two[lower[~free]] = number[~free]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 for one that isn't known."""
+        number = self.one[h >> np.uint64(64 - _SLOTS)]
+        other = np.flatnonzero((number < 0) | (self.key[number] != h))
+        second = self.two[h[other] & np.uint64((1 << _SLOTS) - 1)]
+        number[other] = np.where((second >= 0) & (self.key[second] == h[other]), second, -1)
+        return number
+
+    def _keep(self, which: np.ndarray) -> None:
+        """Remember the pieces with these numbers alone."""
+        size = self.size[which]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[np.repeat(self.start[which] - ends + size, size) + np.arange(size.sum())]
+        self.n, self.used = len(which), len(ids)
+        for x, own in ((self.key, self.key[which]), (self.short, self.short[which]), (self.size, size), (self.start, ends - size), (self.hits, 0)):
+            x[: self.n] = own
+        self.ids[: self.used] = ids
+        self.one, self.two = np.full(1 << _SLOTS, -1, np.int32), np.full(1 << _SLOTS, -1, np.int32)
+        self._enter(0)
 
     def _forget(self) -> None:
-        self.numbers, self.characters, self.used = _Numbers(), 0, 0
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32)
+        """Keep the pieces that came more than once since the last time, half of the room at most."""
+        best = np.argsort(-self.hits[: self.n], kind="stable")[: PIECES // 2]
+        self._keep(np.sort(best[(self.hits[best] > 1) & self.short[best]]))
 
     def _add(self, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """The ids, one after the other, of the pieces with these numbers."""
@@ -74,47 +155,64 @@ class Encoder:
         self.size[which] = size
         self.used += len(ids)
 
-    def _learn(self) -> None:
-        """Encode the new pieces; runs of a space and letters are joined, as the pattern parts them again."""
-        new, self.numbers.new = self.numbers.new, []
-        self.characters += sum(map(len, new))
-        base = len(self.start)
-        self.start, self.size = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.size))
+    def _learn(self, new: list[str], h: np.ndarray) -> None:
+        """Encode new pieces; runs of a space and letters are joined, as the pattern parts them again."""
+        base, self.n = self.n, self.n + len(new)
+        if self.n > len(self.key):
+            self.key, self.start, self.size, self.hits, self.short = (np.concatenate([x, np.zeros(max(len(x), len(new)), x.dtype)]) for x in (self.key, self.start, self.size, self.hits, self.short))
+        self.key[base : self.n], self.hits[base : self.n] = h, 0
+        self.short[base : self.n] = [len(x) <= LONGEST for x in new]
         rest, plain = [], []
         for k, x in enumerate(new):
-            (plain if _PLAIN.match(x) else rest).append(k)
-        for i in range(0, len(plain), 4096):
-            own = plain[i : i + 4096]
-            got = self.tokenizer.encode("".join([new[k] for k in own]), add_special_tokens=False)
-            word = np.array(got.word_ids, np.int64)
-            if len(word) and word[-1] == len(own) - 1 and (np.diff(word) >= 0).all():
-                self._add(base + np.array(own), np.array(got.ids, np.uint32), np.bincount(word, minlength=len(own)))
+            (plain if x[0] == " " and x[1:].isalpha() else rest).append(k)
+        for i in range(0, len(plain), 1024):
+            own = plain[i : i + 1024]
+            (got,) = self.tokenizer.encode_batch_fast(["".join([new[k] for k in own])], add_special_tokens=False)
+            ids = np.array(got.ids, np.uint32)
+            # Such a piece's first id has the space in it and its others haven't.
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(own) and at[0] == 0:
+                self._add(base + np.array(own), ids, np.diff(np.append(at, len(ids))))
             else:
                 rest += own
         for i in range(0, len(rest), 4096):
             own = rest[i : i + 4096]
             lists = [x.ids for x in self.tokenizer.encode_batch([new[k] for k in own], add_special_tokens=False)]
             self._add(base + np.array(own), np.array([y for x in lists for y in x], np.uint32), np.array([len(x) for x in lists], np.int64))
+        self._enter(base)
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > PIECES or self.characters > CHARACTERS:
+    def encode(self, b: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The ids of each document of a chunk."""
+        if not self.apart:
+            return [self._whole(b[s:e].tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
+        if self.n > PIECES:
             self._forget()
-        pieces: list[str] = []
-        borders, whole = [0], {}
-        for k, x in enumerate(texts):
-            if not self.apart or _UNSURE.search(x):
-                whole[k] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32)
-            else:
-                pieces += _PIECE.findall(x)
-            borders.append(len(pieces))
-        number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-        if self.numbers.new:
-            self._learn()
+        able = sure(b, at)
+        begins = split(b, at)
+        ends = np.append(begins[1:], len(b))
+        own = np.searchsorted(begins, at)
+        if not able.all():
+            keep = np.repeat(able, np.diff(own))
+            begins, ends = begins[keep], ends[keep]
+            own = np.concatenate([[0], np.cumsum(np.where(able, np.diff(own), 0))])
+        h = _text.hashes(b, (begins, ends))[0]
+        number = self._find(h)
+        lost = np.flatnonzero(number < 0)
+        if len(lost):
+            fresh, first, again = np.unique(h[lost], return_index=True, return_inverse=True)
+            base = self.n
+            data = b.tobytes()
+            self._learn([data[s:e].decode() for s, e in zip(begins[lost[first]].tolist(), ends[lost[first]].tolist(), strict=True)], fresh)
+            number[lost] = base + again
+        self.hits += np.bincount(number, minlength=len(self.hits)).astype(np.int32)
         size = self.size[number]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[number] - ends + size, size) + np.arange(size.sum())]
-        at = np.concatenate([[0], ends])[borders]
-        return [whole.get(k, ids[at[k] : at[k + 1]]) for k in range(len(texts))]
+        last = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[np.repeat(self.start[number] - last + size, size) + np.arange(size.sum())]
+        cut = np.concatenate([[0], last])[own]
+        return [ids[cut[k] : cut[k + 1]] if able[k] else self._whole(b[at[k] : at[k + 1]].tobytes()) for k in range(len(able))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -143,10 +241,9 @@ def _segments(batches: Iterator[pa.RecordBatch], content: str, end: int) -> Iter
         )
 
     for batch in batches:
-        for i, j, _, _ in _text.chunks(batch.column(1)):
-            texts = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
+        for i, j, b, at in _text.chunks(batch.column(1), _PART):
             names += batch.column(0).slice(i, j - i).to_pylist()
-            for ids in encoder.encode(texts):
+            for ids in encoder.encode(b, at):
                 parts.append(np.append(ids, np.uint32(end)))
                 sizes.append(len(ids) + 1)
                 held += len(ids) + 1
@@ -167,7 +264,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     tokenizer: the path of a tokenizers file; the driver reads it.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = _store.bounded(docs.sparkSession).sparkContext.broadcast(f.read())
     order = ["_id", F.xxhash64("_t")]
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _segments(b, content.value, end), _SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _store, _text
 
 WINDOW = 10
 MAX_BYTES = 32 << 20
@@ -184,7 +184,7 @@ def prepare(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
     if size + 64 * n > max_bytes:
         raise ValueError(f"the benchmark has {size} bytes in {n} items, over the limit of {max_bytes}: run it in parts")
     rows = [tuple(r) for r in items.collect()]
-    return benchmark.sparkSession.sparkContext.broadcast(Index(rows, window))
+    return _store.bounded(benchmark.sparkSession).sparkContext.broadcast(Index(rows, window))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -227,7 +227,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (other[1:] != other[:-1] + 1)
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(doc)) - 1
+            last = np.append(first[1:], len(doc))[: len(first)] - 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc[first])), pa.array(list(index.value.names[item[first]]), pa.string()), _text.ints(place[first]), _text.ints(other[first]), _text.ints(place[last] + size[last] - place[first])],
                 names=["doc_id", "item_id", "doc_word", "item_word", "n_words"],

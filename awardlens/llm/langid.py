@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _store, _text
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -106,6 +106,7 @@ class Model:
 
 def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", bits: int = BITS, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> Model:
     """The model of the labelled rows. usable: a condition on docs; sample: rows of a language at most, about."""
+    _store.bounded(docs.sparkSession)
     known = docs if usable is None else docs.filter(usable)
     known = known.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = known.groupBy(F.col(lang_col).alias("l")).count().orderBy("l").limit(max_languages + 1).collect()
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", l
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _store.bounded(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

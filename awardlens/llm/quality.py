@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _store, _text
 
 BITS = 16
 SAMPLE = 16_000
@@ -213,6 +213,7 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
     """The weak model of all documents and the scorer of a sample."""
+    _store.bounded(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the weak labels' posterior, the scorer's score, and keep: whether their mean logit is at least 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = _store.bounded(docs.sparkSession).sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -182,12 +182,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """The documents as _id, _t, _k, _k2, and the intervals of those that lose bytes."""
-    spark = docs.sparkSession
+    _store.bounded(docs.sparkSession)
 
     def kept(name: str, table: DataFrame) -> DataFrame:
-        path = _store.place(spark, f"repeats-{name}")
-        table.write.option("compression", "zstd").parquet(path)
-        return spark.read.parquet(path)
+        return _store.kept(table, f"repeats-{name}")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_k"), F.xxhash64(F.lit(7), text).alias("_k2"))

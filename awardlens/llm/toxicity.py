@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _store, _text
 
 PREFIXES = (4, 5, 6)
 BITS = 18
@@ -130,6 +130,7 @@ def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, n_features: int = FEATURES, sample: int = SAMPLE) -> Machine:
     """The machine for the labelled rows. usable: a condition on the id; sample: rows of either label at most."""
+    _store.bounded(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     if usable is not None:
         known = known.filter(usable)
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = _store.bounded(docs.sparkSession).sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +197,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text_col)
+    shared, at = _store.bounded(docs.sparkSession).sparkContext.broadcast(machine), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

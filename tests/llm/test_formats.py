@@ -227,7 +227,7 @@ def brute_mix(rows, entropy=mixing.ENTROPY, repeats=mixing.REPEATS, block=mixing
             return lo
 
         a = 1.0 if h(1.0) >= entropy * math.log(len(p)) else bisect(lambda x: h(x) >= entropy * math.log(len(p)))
-        if most(a) > repeats:
+        if repeats is not None and most(a) > repeats:
             a = 1.0 if most(1.0) > repeats else bisect(lambda x: most(x) > repeats) + 2.0**-steps
         size = float(budget) if budget is not None else everything * max(p.values()) / (max(p.values()) ** a / z(a))
     out = []

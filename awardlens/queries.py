@@ -315,10 +315,10 @@ v_{name} AS MATERIALIZED (SELECT DISTINCT {own}m, n AS support_n, q[51] AS media
 
 _VINTAGES = ",".join(_cells(n, k) for n, k in vintages.LADDERS.items())
 _FEATURES = f"""{_RAW}, {_VINTAGES},
-s_days AS (SELECT supplier_key AS k, signing_date AS d, count(*) AS n FROM usable WHERE supplier_key IS NOT NULL GROUP BY ALL),
-s_cum AS MATERIALIZED (SELECT k, d, sum(n) OVER (PARTITION BY k ORDER BY d)::BIGINT AS c FROM s_days),
-p_days AS (SELECT project_id AS k, signing_date AS d, count(*) AS n FROM usable GROUP BY ALL),
-p_cum AS MATERIALIZED (SELECT k, d, sum(n) OVER (PARTITION BY k ORDER BY d)::BIGINT AS c FROM p_days),
+s_days AS (SELECT k, d, sum(n) AS n FROM (SELECT supplier_key AS k, signing_date AS d, 1 AS n FROM usable UNION ALL SELECT supplier_key, signing_date, 0 FROM clean) WHERE k IS NOT NULL GROUP BY ALL),
+s_cum AS MATERIALIZED (SELECT k, d, (sum(n) OVER (PARTITION BY k ORDER BY d) - n)::BIGINT AS c FROM s_days),
+p_days AS (SELECT k, d, sum(n) AS n FROM (SELECT project_id AS k, signing_date AS d, 1 AS n FROM usable UNION ALL SELECT project_id, signing_date, 0 FROM clean) GROUP BY ALL),
+p_cum AS MATERIALIZED (SELECT k, d, (sum(n) OVER (PARTITION BY k ORDER BY d) - n)::BIGINT AS c FROM p_days),
 looked AS MATERIALIZED (
   SELECT clean.*, CASE WHEN e.median IS NOT NULL THEN 'exact' WHEN c.median IS NOT NULL THEN 'category' WHEN o.median IS NOT NULL THEN 'overall' ELSE 'none' END AS benchmark_rung,
     coalesce(e.median, c.median, o.median) AS benchmark_median, coalesce(e.support_n, c.support_n, o.support_n, 0) AS benchmark_support_n, coalesce(e.sketch, c.sketch, o.sketch) AS sketch,
@@ -330,7 +330,7 @@ feats AS MATERIALIZED (
     CASE WHEN amount_usd > 0 THEN log10(amount_usd) END AS log_amount, CASE WHEN benchmark_median >= 1 THEN amount_usd / benchmark_median END AS amount_vs_category_region_median,
     CASE WHEN practice_median >= 1 THEN amount_usd / practice_median END AS amount_vs_practice_median, CASE WHEN sketch IS NOT NULL THEN len(list_filter(sketch, lambda q: q <= amount_usd)) END AS sketch_rank,
     supplier_key IS NOT NULL AS supplier_is_known
-  FROM looked ASOF LEFT JOIN s_cum ON supplier_key = s_cum.k AND signing_date > s_cum.d ASOF LEFT JOIN p_cum ON project_id = p_cum.k AND signing_date > p_cum.d)
+  FROM looked LEFT JOIN s_cum ON supplier_key = s_cum.k AND signing_date = s_cum.d LEFT JOIN p_cum ON project_id = p_cum.k AND signing_date = p_cum.d)
 """
 # The extract has no review type, category or date missing, so these are the flags that can occur.
 _FLAGS = f"""{_FEATURES},

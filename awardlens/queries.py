@@ -309,8 +309,8 @@ def _cells(name: str, keys: tuple[str, ...]) -> str:
     own = "".join(f"{k}, " for k in keys)
     frame = f"({by}ORDER BY m RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
-v_{name} AS MATERIALIZED (SELECT DISTINCT {own}m, n AS support_n, q[51] AS median, q AS sketch FROM (
-  SELECT {own}m, count(amount_usd) OVER {frame} AS n, quantile_cont(amount_usd, {_QUANTILES}) OVER {frame} AS q FROM usable) WHERE n >= 30)"""
+v_{name} AS MATERIALIZED (SELECT {own}m, support_n, sketch[51] AS median, sketch FROM (SELECT {own}m, any_value(n) AS support_n, any_value(q) AS sketch FROM (
+  SELECT {own}m, count(amount_usd) OVER {frame} AS n, quantile_cont(amount_usd, {_QUANTILES}) OVER {frame} AS q FROM usable) WHERE n >= 30 GROUP BY {own}m))"""
 
 
 _VINTAGES = ",".join(_cells(n, k) for n, k in vintages.LADDERS.items())

@@ -54,7 +54,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest(media.store(_table(spark, sf_dir, "documents"), _store.place(spark, "telephony")))
+    """The PCM is stored at the decoded rate, every sample of it."""
+    return media.digest(media.store(_table(spark, sf_dir, "documents"), _store.place(spark, "telephony"), to=media.RATE))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

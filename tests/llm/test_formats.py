@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,8 @@ from hypothesis import strategies as st
 
 from awardlens.llm import _text, licenses, media, mixing, pfor, queries, tokens
 
+SF = "/root/testdata/sf0.001"
+
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50), st.integers(0, 2**32 - 1)), max_size=900), st.integers(0, 900), st.integers(0, 900))
@@ -165,6 +168,16 @@ def test_audio(spark, docs, rows, none, tmp_path):
     assert media.digest(media.store(none, f"file://{tmp_path}/n")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_audio_query_stores_every_sample(spark):
+    got = {r["doc_id"]: r["feature"] for r in queries.op6_telephony_audio(spark, SF).select("doc_id", "feature").collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows) > 0
+    for doc_id, text in rows:
+        pcm = media.MU_LAW_PCM[np.frombuffer(media.unpack(media.pack((text or "").encode()))[2], np.uint8)]
+        assert got[doc_id].split("/")[-1] == str(zlib.crc32(pcm.astype("<i2").tobytes()))
+
+
 def scan_one(text):
     """The closest templates of a text's units, by plain loops."""
     low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

@@ -2,9 +2,10 @@
 
 Terms are the words of a text (A-Z lower-cased, ``[0-9a-z]`` and all beyond ASCII) and their beginnings of
 PREFIXES bytes, hashed to 2**bits buckets. Buckets are counted by label over all labelled rows, map-side into
-dense vectors. Those enter the model whose log odds differ by more standard errors than the largest of as many
-buckets without any difference would, sqrt(2 ln n), or that are among the LEAST_FEATURES best; FEATURES at most.
-The machine is
+dense vectors. All that SUPPORT labelled documents have enter the model, so a pair of terms that are neutral alone
+can be learned. It is fitted in two steps: first on the terms whose log odds differ by more standard errors than the
+largest of as many buckets without any difference would, sqrt(2 ln n), or that are among the LEAST_FEATURES best,
+FEATURES at most; then, from there, on all terms together. The machine is
 
     score(x) = sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)),
 
@@ -35,6 +36,8 @@ PREFIXES = (4, 5, 6)
 BITS = 18
 FEATURES = 8192
 LEAST_FEATURES = 24
+SUPPORT = 2
+VISITS = 30_000
 SAMPLE = 12_000
 FACTORS = 6
 BROADCAST_ROWS = 2_000_000
@@ -128,6 +131,52 @@ def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int
     return float(bias), theta[:, 0].copy(), theta[:, 1:].copy()
 
 
+def refine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, start: tuple[float, np.ndarray, np.ndarray], epochs: int = 25, batch: int = 128, rate: float = 0.02, decay: float = 2e-4, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
+    """The machine over n terms, from one over the first of them.
+
+    The steps of all weights have one scale, and those of all factors: a term moves in proportion to its gradient,
+    so rare ones, whose gradients are small, don't learn single documents by heart as each with a scale of its own would.
+    Steps shrink with what the start leaves to explain, as a share of what the labels' shares alone leave.
+    """
+    rng = np.random.default_rng(seed)
+    n_one = max(1, int(y.sum()))
+    weight = np.sqrt(np.where(y == 1, 0.5 * len(y) / n_one, 0.5 * len(y) / max(1, len(y) - n_one)))
+    bias, w, v = start
+    factors = v.shape[1]
+    theta = np.concatenate([np.zeros((n, 1)), rng.normal(0, 0.02, (n, factors))], axis=1)
+    theta[: len(w), 0], theta[: len(w), 1:] = w, v
+    m1, m2, b1, b2, step = np.zeros_like(theta), np.zeros(2), 0.0, 0.0, 0
+    size = np.array([len(r[0]) for r in rows])
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for k in range(0, len(order), batch):
+            pick = order[k : k + batch]
+            at = np.concatenate([[0], np.cumsum(size[pick])])
+            if not at[-1]:
+                continue
+            column = np.concatenate([rows[i][0] for i in pick])
+            value = np.concatenate([rows[i][1] for i in pick]).astype(float)
+            row = np.repeat(np.arange(len(pick)), size[pick])
+            vx = theta[column] * value[:, None]
+            sums = np.concatenate([np.zeros((1, factors + 2)), np.cumsum(np.column_stack([vx, (vx[:, 1:] ** 2).sum(axis=1)]), axis=0)])
+            sums = sums[at[1:]] - sums[at[:-1]]
+            z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(axis=1) - sums[:, -1])
+            g = weight[pick] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
+            part = np.column_stack([np.ones(len(row)), sums[row, 1:-1] - vx[:, 1:]]) * (g[row] * value)[:, None]
+            left = min(1.0, np.sqrt((g**2).sum() / ((weight[pick] * (y.mean() - y[pick]) / len(pick)) ** 2).sum()))
+            by = np.argsort(column, kind="stable")
+            seen, first = np.unique(column[by], return_index=True)
+            grad = np.add.reduceat(part[by], first, axis=0) + decay * theta[seen]
+            step += 1
+            fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
+            m1[seen] = 0.9 * m1[seen] + 0.1 * grad
+            m2 = 0.999 * m2 + 0.001 * np.array([(grad[:, 0] ** 2).max(), (grad[:, 1:] ** 2).max()])
+            theta[seen] -= left * rate * (m1[seen] / fix1) / (np.sqrt(m2 / fix2) + 1e-8)[[0] + [1] * factors]
+            b1, b2 = 0.9 * b1 + 0.1 * g.sum(), 0.999 * b2 + 0.001 * g.sum() ** 2
+            bias -= left * rate * (b1 / fix1) / (np.sqrt(b2 / fix2) + 1e-8)
+    return float(bias), theta[:, 0].copy(), theta[:, 1:].copy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, n_features: int = FEATURES, sample: int = SAMPLE) -> Machine:
     """The machine for the labelled rows. usable: a condition on the id; sample: rows of either label at most."""
     _store.bounded(docs.sparkSession)
@@ -162,8 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     z = np.abs(np.log(b / (n1 + 1 - b)) - np.log(a / (n0 + 1 - a))) / np.sqrt(1 / a + 1 / b)
     order = np.argsort(-z, kind="stable")[:n_features]
     best = seen["bucket"].to_numpy()[order[(z[order] > np.sqrt(2 * np.log(max(len(z), 2)))) | (np.arange(len(order)) < LEAST_FEATURES)]]
+    rest = np.setdiff1d(seen["bucket"].to_numpy()[(seen["n0"] + seen["n1"]).to_numpy() >= SUPPORT], best)
     column_of = none
     column_of[best] = np.arange(len(best))
+    column_of[rest] = len(best) + np.arange(len(rest))
 
     # The rows of either label whose hash is least: a threshold on the hash, no sort.
     part = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / (1 << 30)
@@ -180,8 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
 
     got = picked.select("_t", "_y", F.xxhash64("_id", "_t").alias("_h")).mapInArrow(encode, "h long, y int, c binary, v binary").collect()
     got.sort(key=lambda r: (r[0], r[1]))
-    rows = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32).astype(float)) for r in got]
-    return Machine(bits, column_of, *fit_machine(rows, np.array([r[1] for r in got], float), max(1, len(best))))
+    y = np.array([r[1] for r in got], float)
+    rows = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got]
+    start = fit_machine([(c[c < len(best)], x[c < len(best)].astype(float)) for c, x in rows], y, max(1, len(best)))
+    return Machine(bits, column_of, *refine(rows, y, max(1, len(best) + len(rest)), start, epochs=max(2, min(25, VISITS // max(1, len(rows))))))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

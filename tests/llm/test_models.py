@@ -78,6 +78,20 @@ def test_machine_learns_a_pair():
     assert ((z > 0) == (y == 1)).mean() > 0.95
 
 
+def test_fit_learns_a_pair_of_neutral_terms(spark):
+    """Label 1 where both words or neither are there, among words by chance: no word tells anything alone."""
+    rng = np.random.default_rng(5)
+    made = []
+    for k in range(1500):
+        a, b = rng.random(2) < 0.5
+        filler = [f"f{x:03d}" for x in rng.integers(0, 200, 3)]
+        made.append((k, " ".join(["aaa"] * (3 * int(a)) + ["bbb"] * (3 * int(b)) + filler), int(a == b)))
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(frame.drop("toxic"), frame.filter("doc_id < 1200").select("doc_id", "toxic"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, machine).collect()}
+    assert np.mean([(got[k] >= 0.5) == (y == 1) for k, _, y in made[1200:]]) > 0.9
+
+
 def test_toxicity_odd_rows(spark, docs, rows, none):
     labels = spark.createDataFrame([(k, int(k % 4 == 0), 1) for k in range(40)] + [(None, 1, 1), (5000, 1, 1), (3, None, 1)], "doc_id long, toxic int, quality int")
     machine = toxicity.fit(docs, labels)

@@ -198,12 +198,16 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
     both = rows.unionByName(parsed.select(F.bitwise_not("k").alias("k"), F.explode("twice").alias("h")))
     shared = both.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo != hi").select("h")
     listed = rows.join(shared, "h").groupBy("k").agg(F.collect_set("h").alias("hs"))
-    firsts = parsed.filter(F.col("n") >= length).groupBy("k", "k2").agg(F.min("id").alias("id"))
-    listed = kept("listed", firsts.join(listed, "k").select(F.col("id").alias("_lid"), F.col("k").alias("_lk"), F.col("k2").alias("_lk2"), "hs"))
-    size = listed.agg(F.sum(F.size("hs") + 8)).first()[0] or 0
-    if size <= BROADCAST_TRIGGERS:
+    firsts = parsed.filter(F.col("n") >= length).groupBy("k", "k2", "id").agg(F.count("*").alias("rows")).groupBy("k", "k2").agg(F.min(F.struct("id", "rows")).alias("least")).select("k", "k2", "least.*")
+    listed = kept("listed", firsts.join(listed, "k").select(F.col("id").alias("_lid"), F.col("k").alias("_lk"), F.col("k2").alias("_lk2"), "rows", "hs"))
+    size, most = listed.agg(F.sum(F.size("hs") + 8), F.max("rows")).first()
+    if (size or 0) <= BROADCAST_TRIGGERS:
         listed = F.broadcast(listed)
-    found = own.join(listed, (F.col("_id") == F.col("_lid")) & (F.col("_k") == F.col("_lk")) & (F.col("_k2") == F.col("_lk2"))).select("_id", "_t", "_k", "_k2", "hs")
+    found = own.join(listed, (F.col("_id") == F.col("_lid")) & (F.col("_k") == F.col("_lk")) & (F.col("_k2") == F.col("_lk2"))).select("_id", "_t", "_k", "_k2", "rows", "hs")
+    # Rows alike in id and text are one document: parsed once, or each would repeat the other. Only their texts are shuffled.
+    if (most or 0) > 1:
+        found = found.filter("rows = 1").unionByName(found.filter("rows > 1").dropDuplicates(["_id", "_k", "_k2"]))
+    found = found.drop("rows")
     schema = T.StructType([T.StructField("h", T.LongType()), *key.fields]).add("place", "long").add("windows", "long").add("text", "binary")
     phrases = kept("phrases", found.mapInArrow(lambda x: _phrases(x, length, gram), schema))
 
@@ -213,7 +217,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
     known = phrases.filter("text is null").select("id", "k", "k2", F.col("place").alias("s"), (F.col("place") + F.col("windows") + length - 1).alias("e"))
     merged = again.unionByName(known).groupBy("id", "k", "k2").agg(F.collect_list(F.struct("s", "e")).alias("x")).mapInArrow(_merge, T.StructType([*key.fields]).add("spans", many))
     # Every later copy of a whole text goes.
-    names = firsts.withColumnRenamed("id", "first")
+    names = firsts.select("k", "k2", F.col("id").alias("first"))
     copies = parsed.filter(F.col("n") >= length).select("id", "k", "k2", "n").join(names, ["k", "k2"]).filter("id > first").distinct().select("id", "k", "k2", F.array(F.lit(0).cast("long"), F.col("n")).alias("spans"))
     spans = kept("spans", merged.unionByName(copies).select(F.col("id").alias("_sid"), F.col("k").alias("_sk"), F.col("k2").alias("_sk2"), "spans"))
     return own, F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans

@@ -105,6 +105,14 @@ def expected_repeats(rows):
     return out
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_row_holds_the_first_passage(spark, parts):
+    passage = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, f"one before {passage}"), (1, f"one before {passage}"), (2, f"another start, {passage} and an end"), (3, "own " + passage[:150])]
+    got = Counter(tuple(r) for r in repeats.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect())
+    assert got == expected_repeats(rows)
+
+
 def test_repeats(docs, rows, none):
     got = Counter(tuple(r) for r in repeats.digest(docs).collect())
     assert got == expected_repeats(rows)

@@ -187,8 +187,8 @@ def gbt_scores(s: SparkSession, d: str) -> DataFrame:
     from .operators import model
 
     _, _, parts, left = _lr(s, d)
-    fitted = model.train(parts["train"], parts["validate"], "gbt", config=CONFIG, max_iter=10)
-    return fitted.transform(left).select(*_ID, F.round("risk_score", 4).alias("risk_score"), "risk_band")
+    fitted = model.train(parts["train"], parts["validate"], "gbt", config=CONFIG)
+    return fitted.explain(fitted.transform(left)).select(*_ID, F.round("risk_score", 4).alias("risk_score"), "risk_band", "top_contributing_features")
 
 
 def anomaly_flags(s: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ def anomaly_flags(s: SparkSession, d: str) -> DataFrame:
 
 def classify_contracts(s: SparkSession, d: str) -> DataFrame:
     checked, made, _, _ = _lr(s, d)
-    artefacts = engine.train(checked, made, CONFIG, "logistic")
+    artefacts = engine.train(checked, made, CONFIG)
     return cohort.classify(checked, artefacts, AT).select("contract_id", "cohort", "risk_score", "risk_band", "anomaly_flag", F.array_join("reason_codes", ",").alias("reason_codes"), "classification_timestamp")
 
 

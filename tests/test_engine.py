@@ -392,3 +392,23 @@ def test_training_pipeline(spark):
     artefacts = engine.train(checked, fitted, config, "logistic")
     got = engine.classify_batch(rows, artefacts, AT)
     assert got.count() == 400 and got.filter("risk_score is not null").count() == engine.eligible(checked, config).count()
+
+
+def test_queries_train_the_production_model(monkeypatch):
+    """Neither query cuts the trees or takes another kind, and the trees are explained."""
+    from unittest.mock import MagicMock
+
+    from awardlens import queries
+    from awardlens.operators import model as trained
+
+    fake, own, cohorts = MagicMock(), MagicMock(), MagicMock()
+    monkeypatch.setattr(queries, "_lr", lambda s, d: (MagicMock(), MagicMock(), MagicMock(), MagicMock()))
+    monkeypatch.setattr(queries, "F", MagicMock())
+    monkeypatch.setattr(trained, "train", fake)
+    monkeypatch.setattr(queries.engine, "train", own)
+    monkeypatch.setattr(queries.cohort, "classify", cohorts)
+    queries.gbt_scores(None, "")
+    queries.classify_contracts(None, "")
+    assert fake.call_args.args[2] == "gbt" and set(fake.call_args.kwargs) == {"config"}
+    assert fake.return_value.explain.called
+    assert own.call_args.args[3:] == () and not own.call_args.kwargs

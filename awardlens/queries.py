@@ -155,7 +155,7 @@ def anomaly_rates(s: SparkSession, d: str) -> DataFrame:
     return reports.anomaly_rates(_features(s, d).select(metrics.split_name(CONFIG).alias("split"), metrics.target(CONFIG).alias("y"), p.alias("anomaly_flag")))
 
 
-def batch_agreement(s: SparkSession, d: str) -> DataFrame:
+def setting_agreement(s: SparkSession, d: str) -> DataFrame:
     """Outcomes under two settings, by how many rows they differ."""
     checked = _checked(s, d).withColumn("key", F.concat_ws("-", *_ID))
     name = F.coalesce(rules.cohort_name("cohort_rank"), F.lit("DEFERRED")).alias("outcome")
@@ -245,7 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate": lambda s, d: metrics.evaluate(_scored(s, d), 0.8, "id"),
     "override_rescue": anomaly_report,
     "anomaly_rates": anomaly_rates,
-    "batch_agreement": batch_agreement,
+    "setting_agreement": setting_agreement,
     "reason_meanings": reason_meanings,
     "method_taxonomy": lambda s, d: reports.method_taxonomy(s, CONFIG).select("method", "class"),
     "flag_dimension": lambda s, d: flags.dimension(s).select("flag", "severity"),
@@ -423,7 +423,7 @@ ORACLE_SQL: dict[str, str] = {
     "evaluate": f"{_SCORED}, r AS (SELECT y, (rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0) AS r, row_number() OVER (ORDER BY p DESC, id) AS k, p FROM scored) SELECT count(*) AS n, round(avg(y), 4) AS base_rate, round(avg((p - y) ** 2), 5) AS brier, round(avg(y) FILTER (p >= 0.8), 4) AS share_flagged_in_target, round(avg((p >= 0.8)::INT), 4) AS flagged_share_of_population, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 4) AS auc, round(avg(y) FILTER (k <= (SELECT greatest(1, floor(count(*) * 0.1)) FROM scored)), 4) AS precision_at_top_decile FROM r",
     "override_rescue": f"{_SCORED}, f AS (SELECT *, round(p * 10007, 0) % 37 = 0 AS flag FROM scored) SELECT count(*) FILTER (p < 0.5) AS below_threshold, count(*) FILTER (p < 0.5 AND flag) AS promoted, round(avg(y) FILTER (p < 0.5 AND flag), 4) AS positive_rate_promoted, round(avg(y) FILTER (p < 0.5 AND NOT flag), 4) AS positive_rate_left FROM f",
     "anomaly_rates": f"{_SCORED}, f AS (SELECT *, round(p * 10007, 0) % 37 = 0 AS flag FROM scored) SELECT CASE WHEN fiscal_year BETWEEN 1996 AND 1998 THEN 'train' WHEN fiscal_year = 1999 THEN 'validate' WHEN fiscal_year IN (2000, 2001) THEN 'test' WHEN fiscal_year = 2002 THEN 'truncated' END AS split, count(*) AS n, round(avg(flag::INT), 4) AS flag_rate, round(avg(y) FILTER (flag), 4) AS positive_rate_flagged, round(avg(y) FILTER (NOT flag), 4) AS positive_rate_other FROM f GROUP BY 1",
-    "batch_agreement": f"{_RULED} SELECT count(*) FILTER (ok AND len(t) = 0 AND coalesce(ratio > 1.7, false)) AS disagreements, count(*) AS rows FROM ruled",
+    "setting_agreement": f"{_RULED} SELECT count(*) FILTER (ok AND len(t) = 0 AND coalesce(ratio > 1.7, false)) AS disagreements, count(*) AS rows FROM ruled",
     "reason_meanings": f"{_RULED} SELECT DISTINCT code, code IN ({_in(_PREDICATES)}) AS is_rule, true AS described FROM (SELECT unnest(CASE WHEN NOT ok THEN ['AMOUNT_NON_POSITIVE'] WHEN len(t) > 0 THEN t ELSE list_transform(u, lambda x: 'UNEVALUABLE::' || x) END) AS code FROM ruled)",
     "method_taxonomy": f"SELECT * FROM (VALUES {', '.join(f'({_in([m])}, {_in([k])})' for m, (k, _) in CONFIG.methods.items())}) x(method, class)",
     "flag_dimension": f"SELECT * FROM (VALUES {_SEVERITY}) x(flag, severity)",

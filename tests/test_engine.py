@@ -412,3 +412,10 @@ def test_queries_train_the_production_model(monkeypatch):
     assert fake.call_args.args[2] == "gbt" and set(fake.call_args.kwargs) == {"config"}
     assert fake.return_value.explain.called
     assert own.call_args.args[3:] == () and not own.call_args.kwargs
+
+
+def test_no_query_claims_the_agreement_of_the_paths():
+    """The query compares two settings; that of batch and records is held by a test."""
+    from awardlens.queries import QUERIES
+
+    assert "setting_agreement" in QUERIES and "batch_agreement" not in QUERIES

@@ -10,12 +10,14 @@ library as it is.
 
 Defined results: null and empty texts are the end id alone; documents with one doc_id come in the order of a hash of
 their texts; a null doc_id comes first; an empty table gives an empty stream. Only the id, an integer, and the text
-are read. Strings of special tokens are ordinary text.
+are read. A text that holds an added token's string, such as a special one's, goes to the library as it is, which
+makes the token's id of it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -100,7 +102,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted({x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)).encode()) if added else None
         # Only a byte-level model that splits by its usual pattern, without a normalizer, is taken apart.
         self.apart = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -191,6 +194,10 @@ class Encoder:
         if self.n > PIECES:
             self._forget()
         able = sure(b, at)
+        if self.added is not None:
+            # A match over a border sends both documents to the library, which does no harm.
+            for m in self.added.finditer(b):
+                able[np.searchsorted(at, m.start(), side="right") - 1 : np.searchsorted(at, m.end(), side="left")] = False
         begins = split(b, at)
         ends = np.append(begins[1:], len(b))
         own = np.searchsorted(begins, at)

@@ -2,7 +2,7 @@
 
 N-grams are taken of the lower-cased text with every run of other characters than letters made one space, for each
 n in ORDERS, and hashed to 2**bits buckets. Counts by language come from a bounded sample of the labelled rows
-(``sample`` of each language, those with the least hash), summed map-side into dense vectors. The matrix of log
+(``sample`` of each language, those with the least hash), summed map-side. The matrix of log
 probabilities, 2**bits floats a language, is broadcast (``max_languages`` bounds it); documents are scored in
 batches in numpy as a sparse product: the n-grams of all documents of a chunk pick their entries, which are
 summed by document.
@@ -16,6 +16,7 @@ Repeated documents get a row each; only the named columns are read.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,12 @@ BITS = 16
 SAMPLE = 4000
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: Runs of other characters than letters (category L). \w also has numbers that aren't digits, such as fractions.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 _PART = 1 << 19
+#: Counts that a task holds before it adds up those of one n-gram and language.
+_HELD = 1 << 20
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,16 +127,27 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", l
         share = F.when(F.col(lang_col) == r[0], min(1.0, sample / r[1])).otherwise(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), 1 << bits), np.int64)
+        keys, sums, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def total() -> tuple[np.ndarray, np.ndarray]:
+            key, place = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(place, weights=np.concatenate(sums), minlength=len(key)).astype(np.int64)
+
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(1).to_pylist()])
             texts = batch.column(0).to_pylist()
             for i, j in _groups(texts):
                 for bucket, at in grams(texts[i:j], bits):
                     own = np.repeat(lang[i:j], np.diff(at)) if j > i else lang[:0]
-                    total += np.bincount(own * (1 << bits) + bucket, minlength=total.size).reshape(total.shape)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([_text.ints(lang), _text.ints(bucket), _text.ints(total[lang, bucket])], names=["l", "b", "n"])
+                    key, n = np.unique(own * (1 << bits) + bucket, return_counts=True)
+                    keys.append(key)
+                    sums.append(n)
+                    held += len(key)
+                if held > _HELD:
+                    key, n = total()
+                    keys, sums, held = [key], [n], 0
+        key, n = total()
+        yield pa.RecordBatch.from_arrays([_text.ints(key >> bits), _text.ints(key & ((1 << bits) - 1)), _text.ints(n)], names=["l", "b", "n"])
 
     rows = known.filter(part < share).select(text_col, lang_col).mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(names), 1 << bits), 0.5)

@@ -183,19 +183,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     if usable is not None:
         known = known.filter(usable)
-    shares = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
-    n1, n0 = shares.get(1, 0), shares.get(0, 0)
-    none = np.full(1 << bits, -1, np.int64)
-    if not n1 or not n0:
-        share = min(max(n1 / max(n0 + n1, 1), 1e-9), 1 - 1e-9)
-        return Machine(bits, none, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
     # Sixteen bytes a row: sent to every executor up to BROADCAST_ROWS rows, joined by a shuffle beyond.
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known) if n0 + n1 <= BROADCAST_ROWS else known, "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {0: np.zeros(1 << bits, np.int64), 1: np.zeros(1 << bits, np.int64)}
+        rows = np.zeros(2, np.int64)
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
+            rows += np.bincount(y, minlength=2)
             for i, j, b, at in _text.chunks(batch.column(0)):
                 h, doc, _ = term_hashes(b, at)
                 once = np.unique(doc * np.int64(1 << bits) + (h >> np.uint64(64 - bits)).astype(np.int64))
@@ -203,10 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
                 for k in (0, 1):
                     total[k] += np.bincount(once[label == k] & ((1 << bits) - 1), minlength=1 << bits)
         seen = np.flatnonzero(total[0] + total[1])
-        yield pa.RecordBatch.from_arrays([_text.ints(seen), _text.ints(total[0][seen]), _text.ints(total[1][seen])], names=["bucket", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([_text.ints(np.append(seen, -1)), *(_text.ints(np.append(total[k][seen], rows[k])) for k in (0, 1))], names=["bucket", "n0", "n1"])
 
-    # 2**bits rows at most come to the driver, to be ranked by smoothed log odds over their standard error.
+    # 2**bits + 1 rows at most come to the driver, to be ranked by smoothed log odds over their standard error.
+    # Bucket -1 has the rows themselves: labels of unknown documents aren't among them, and repeated rows count as often as their terms do.
     seen = texts.select("_t", "_y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().sort_values("bucket")
+    n0, n1 = (int(seen.loc[seen["bucket"] == -1, k].sum()) for k in ("n0", "n1"))
+    none = np.full(1 << bits, -1, np.int64)
+    if not n1 or not n0:
+        share = min(max(n1 / max(n0 + n1, 1), 1e-9), 1 - 1e-9)
+        return Machine(bits, none, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
+    seen = seen[seen["bucket"] >= 0]
     a, b = seen["n0"].to_numpy() + 0.5, seen["n1"].to_numpy() + 0.5
     z = np.abs(np.log(b / (n1 + 1 - b)) - np.log(a / (n0 + 1 - a))) / np.sqrt(1 / a + 1 / b)
     order = np.argsort(-z, kind="stable")[:n_features]

@@ -4,11 +4,11 @@ LABELLERS vote on every document: 1 good, 0 none, -1 bad. Expectation-maximisati
 patterns, at most 3**len(LABELLERS) rows gathered from all documents, estimates each labeller's chance of each vote
 for good and bad documents, and the share of good ones. A document's posterior follows from its votes alone.
 
-The posteriors of a bounded sample (``sample`` documents, those with the least hash) are the targets of a logistic
+The posteriors of a bounded sample (``sample`` documents of ``sample_bytes`` bytes at most, about; those with the least hash of id and text) are the targets of a logistic
 scorer over hashed terms: words, their shapes, and words that repeat the one before. It is trained on the driver
 and scores every document; score and posterior are averaged in logits for the decision.
 
-Defined results: a null or empty text has no words, which the length labeller calls bad; texts are read whole; an
+Defined results: a null or empty text has no words, which the labeller no_words calls bad; texts are read whole; an
 empty table gives an empty table; if no document is voted on, every posterior is a half. Repeated rows get a row
 each; only the id and the text are read.
 """
@@ -28,6 +28,7 @@ from . import _store, _text
 
 BITS = 16
 SAMPLE = 16_000
+SAMPLE_BYTES = 1 << 27
 _UPPER, _LETTER, _LINE, _COMMON = (np.zeros(256, bool) for _ in range(4))
 _UPPER[0x41:0x5B] = True
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -211,22 +212,24 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n:
     return float(bias), w
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
-    """The weak model of all documents and the scorer of a sample."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Scorer:
+    """The weak model of all documents and the scorer of a sample: about ``sample`` rows, and ``sample_bytes`` bytes of text, at most."""
     _store.bounded(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(3 ** len(LABELLERS), np.int64)
+        total, size = np.zeros(3 ** len(LABELLERS), np.int64), np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in batches:
             for _, _, b, at in _text.chunks(batch.column(0)):
-                total += np.bincount(votes(b, at), minlength=len(total))
+                pattern = votes(b, at)
+                total += np.bincount(pattern, minlength=len(total))
+                np.add.at(size, pattern, np.diff(at))
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([_text.ints(seen), _text.ints(total[seen])], names=["pattern", "n"])
+        yield pa.RecordBatch.from_arrays([_text.ints(seen), _text.ints(total[seen]), _text.ints(size[seen])], names=["pattern", "n", "size"])
 
-    rows = own.select("_t").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
+    rows = own.select("_t").mapInArrow(count, "pattern long, n long, size long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toPandas().sort_values("pattern")
     weak = fit_weak(rows["pattern"].to_numpy(), rows["n"].to_numpy())
-    share = sample / max(1, int(rows["n"].sum()))
+    share = min(sample / max(1, int(rows["n"].sum())), sample_bytes / max(1, int(rows["size"].sum())))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +241,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                     names=["h", "pattern", "c", "v"],
                 )
 
-    part = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30)
+    part = F.pmod(F.xxhash64("_id", "_t", F.lit(3)), F.lit(1 << 30)) / (1 << 30)
     got = own.filter(part < share).select("_t", F.xxhash64("_id", "_t").alias("_h")).mapInArrow(encode, "h long, pattern long, c binary, v binary").collect()
     got.sort(key=lambda r: (r[0], r[1]))
     if not got:

@@ -41,7 +41,6 @@ def _encoders():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(queries.vocabulary())
-    whole.encode_special_tokens = True
     return tokens.Encoder(open(queries.vocabulary(), encoding="utf-8").read()), whole
 
 
@@ -52,9 +51,7 @@ ENCODERS = _encoders()
 def library():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(queries.vocabulary())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(queries.vocabulary())
 
 
 def encode(encoder, texts):
@@ -71,7 +68,7 @@ def test_split_is_the_pattern(texts):
 def test_encoder_is_the_library(library, rows):
     encoder = tokens.Encoder(open(queries.vocabulary(), encoding="utf-8").read())
     assert encoder.apart
-    odd = ["a\x1cb \x1d c", "x²y ½z", "　　hi", "don't I'LL we'll_ _x__ 12ab34 ", "  a  \n\n b\t\tc ", "<|endoftext|> x", "é ü\x85z", "中文 абв 12٣", "", " ", "\n"] + [f"a{chr(c)} b{chr(c)}1 {chr(c)}{chr(c)}-{chr(c)}\n{chr(c)} x" for c in range(0x260)]
+    odd = ["a\x1cb \x1d c", "x²y ½z", "　　hi", "don't I'LL we'll_ _x__ 12ab34 ", "  a  \n\n b\t\tc ", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>", "<|endoftext|", "|>", "é ü\x85z", "中文 абв 12٣", "", " ", "\n"] + [f"a{chr(c)} b{chr(c)}1 {chr(c)}{chr(c)}-{chr(c)}\n{chr(c)} x" for c in range(0x260)]
     texts = [r[1] or "" for r in rows] + odd
     for got, expected in zip(encode(encoder, texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert got.tolist() == expected.ids
@@ -131,13 +128,48 @@ def test_law_tables():
     assert len(set(media.A_LAW_PCM.tolist())) == 256 and len(set(media.MU_LAW_PCM.tolist())) == 255
 
 
-def test_resample():
-    x = np.array([0, 10, 20, 7], np.int16)
-    assert media.resample(x, 8000, 16000).tolist() == [0, 5, 10, 15, 20, 13, 7, 7]
-    assert media.resample(x, 8000, 4000).tolist() == [5, 13]
-    assert media.resample(x[:3], 8000, 4000).tolist() == [5, 20]
-    with pytest.raises(ValueError, match="multiple"):
-        media.resample(x, 8000, 3000)
+def resample_one(x, rate, to):
+    """The filter by its formula, a sample at a time."""
+    scale, out = min(1.0, to / rate), []
+    half = math.ceil(media.ZEROS / scale)
+    for k in range(math.ceil(len(x) * to / rate)):
+        at = k * rate / to
+        near = [(i, i - at) for i in range(math.floor(at) + 1 - half, math.floor(at) + half + 1)]
+        weight = [np.sinc(media.CUTOFF * scale * t) * math.cos(math.pi * t / half / 2) ** 2 for _, t in near]
+        out.append(sum(w * int(x[min(max(i, 0), len(x) - 1)]) for (i, _), w in zip(near, weight, strict=True)) / sum(weight))
+    return np.array(out)
+
+
+def tone(hertz, rate, seconds=0.25):
+    return np.rint(10_000 * np.sin(2 * np.pi * hertz * np.arange(int(rate * seconds)) / rate)).astype(np.int16)
+
+
+@pytest.mark.parametrize("rate,to", [(8000, 16000), (8000, 4000), (8000, 11025), (48000, 8000), (8000, 3000)])
+def test_resample(rate, to):
+    x = np.random.default_rng(1).integers(-9000, 9000, 701).astype(np.int16)
+    got = media.resample(x, rate, to)
+    assert len(got) == math.ceil(len(x) * to / rate) and np.abs(got - resample_one(x, rate, to)).max() <= 0.51
+    assert (media.resample(np.full(300, -1234, np.int16), rate, to) == -1234).all()
+    # A tone that both rates can hold stays; one above the lower rate's half goes.
+    keep = media.resample(tone(min(rate, to) * 0.3, rate), rate, to).astype(float)
+    known = tone(min(rate, to) * 0.3, to)
+    n = min(len(keep), len(known))
+    assert np.abs(keep[:n] - known[:n])[200:-200].max() < 120
+    if to < rate:
+        assert np.abs(media.resample(tone(to * 0.62, rate), rate, to).astype(int))[200:-200].max() < 60
+    with pytest.raises(ValueError, match="positive"):
+        media.resample(x, rate, 0)
+    assert len(media.resample(x[:0], rate, to)) == 0
+
+
+def features_one(payload, stored):
+    """The features of a payload with plain loops."""
+    def sound(pcm):
+        cross = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+        return f"{len(pcm)}/{cross}/{max(map(abs, pcm))}/{math.sqrt(sum(x * x for x in pcm) / len(pcm)):.3f}"
+
+    blocks = [x for k in range(0, len(payload), 576) for x in decode_one(payload[k : k + 576])]
+    return "/".join(["7", sound([int(media.MU_LAW_PCM[x]) for x in payload]), sound([int(media.A_LAW_PCM[x]) for x in payload]), sound(blocks), str(zlib.crc32(stored))])
 
 
 def test_wav_round_trip():
@@ -162,9 +194,15 @@ def test_audio(spark, docs, rows, none, tmp_path):
     for r in got:
         by[r["payload_sha256"]].add(r["feature"])
     assert all(len(x) == 1 for x in by.values())
-    stored = spark.read.parquet(f"file://{tmp_path}/a").filter("n_bytes = 3").first()
-    pcm = media.MU_LAW_PCM[np.frombuffer(media.unpack(stored["media"])[2], np.uint8)]
-    assert stored["pcm"] == media.resample(pcm, 8000, 1000).astype("<i2").tobytes()
+    stored = spark.read.parquet(f"file://{tmp_path}/a").filter("n_bytes < 3000").collect()
+    for r in stored:
+        p = bytes(media.unpack(r["media"])[2])
+        pcm = media.MU_LAW_PCM[np.frombuffer(p, np.uint8)].astype("<i2").tobytes()
+        assert r["pcm"] == pcm
+        assert by[hashlib.sha256(p).hexdigest()] == {features_one(p, pcm)}
+    low = media.store(docs.filter("n_chars = 3"), f"file://{tmp_path}/b", to=4000).first()
+    wide = media.MU_LAW_PCM[np.frombuffer(media.unpack(low["media"])[2], np.uint8)]
+    assert low["pcm"] == media.resample(wide, 8000, 4000).astype("<i2").tobytes()
     assert media.digest(media.store(none, f"file://{tmp_path}/n")).count() == 0
 
 

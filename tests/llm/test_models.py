@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,40 @@ def test_language_odd_rows(spark, docs, rows, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_language_is_naive_bayes(spark):
+    """Counts and posteriors by plain loops over the hashed n-grams."""
+    texts = {"de": ["der hund und", "die katze", "und das haus 12"], "en": ["the dog and", "a cat here"]}
+    made = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    model = langid.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"), bits=10)
+
+    def bag(text):
+        return [int(b) for bucket, _ in langid.grams([text], 10) for b in bucket]
+
+    counts = {lang: np.full(1 << 10, 0.5) for lang in texts}
+    for _, t, lang in made:
+        for b in bag(t):
+            counts[lang][b] += 1
+    asked = ["und die", "the house", "der the", "x"]
+    names, scores = model.predict(asked)
+    for t, name, score in zip(asked, names, scores, strict=True):
+        own = bag(t)
+        prior = {lang: np.log(len(x) / len(made)) for lang, x in texts.items()}
+        total = {lang: sum(np.log(c[b] / c.sum()) for b in own) for lang, c in counts.items()}
+        assert name == max(sorted(total), key=lambda x: total[x] + prior[x])
+        z = {lang: np.exp(x / np.sqrt(len(own)) + prior[lang]) for lang, x in total.items()}
+        assert score == pytest.approx(z[name] / sum(z.values()), abs=1e-4)
+
+
+def test_language_letters_are_category_l():
+    import unicodedata
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for c in every:
+        assert (langid._OTHER.fullmatch(c) is None) == (unicodedata.category(c)[0] == "L")
+    model = langid.Model(["a"], 8, np.zeros(1), np.zeros((1, 256)))
+    assert model.predict(["½ ² ③", "Ⅷ", "_ 9 !", "ª"])[0] == ["und", "und", "und", "a"]
+
+
 def test_language_batches_alike():
     texts = ["der Hund und die Katze", None, "the dog and the cat", "", "12 !", "le chien et le chat " * 50]
     model = langid.Model(["a", "b"], 8, np.log(np.array([0.5, 0.5])), np.log(np.random.default_rng(0).dirichlet(np.ones(256), 2)))
@@ -102,7 +137,42 @@ def test_toxicity_odd_rows(spark, docs, rows, none):
     one = toxicity.fit(docs, labels.filter("toxic = 0"))
     assert max(r["score"] for r in toxicity.score(docs, one).collect()) < 0.01
     assert toxicity.score(none, machine).count() == 0
-    assert toxicity.fit(none, labels).score(pa.array(["x", None], pa.string())).shape == (2,)
+    # Labels of both kinds, but of no document here: nothing is known, nothing is toxic.
+    assert (toxicity.fit(none, labels).score(pa.array(["x", None], pa.string())) < 0.01).all()
+
+
+@pytest.mark.filterwarnings("error::RuntimeWarning")
+def test_toxicity_repeated_rows(spark):
+    """A document that comes many times: its terms are its label's best sign, and are counted by its rows."""
+    made = [(1, "vile grolm text", 1)] * 40 + [(k, f"plain words number {k}", 0) for k in range(2, 60)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(frame.drop("toxic"), frame.select("doc_id", "toxic").distinct())
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, machine).collect()}
+    assert got[1] > 0.5 and max(x for k, x in got.items() if k != 1) < 0.5
+
+
+def expected_margin(machine, text):
+    """The machine by its formula, with plain loops over words, beginnings and pairs."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    count: dict[int, int] = {}
+    for w in words:
+        b, at = np.frombuffer(w, np.uint8), np.array([0, len(w)])
+        for h in toxicity.term_hashes(b, at)[0]:
+            column = int(machine.column_of[int(h) >> (64 - machine.bits)])
+            if column >= 0:
+                count[column] = count.get(column, 0) + 1
+    x = {c: np.log1p(n) / np.sqrt(1 + np.log1p(len(words) / 64.0)) for c, n in count.items()}
+    linear = sum(machine.w[c] * v for c, v in x.items())
+    pairs = sum(float(machine.v[c] @ machine.v[d]) * x[c] * x[d] for c in x for d in x if c < d)
+    return machine.bias + linear + pairs
+
+
+def test_toxicity_is_its_formula(spark, docs, rows):
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(40)], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    texts = [r[1] for r in rows if len(r[1] or "") < 2000]
+    got = machine.score(pa.array(texts, pa.string()))
+    assert np.allclose(got, [1 / (1 + np.exp(-np.clip(expected_margin(machine, t), -30, 30))) for t in texts], atol=1e-9)
 
 
 @tables

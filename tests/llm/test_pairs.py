@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from awardlens.llm import components, decontaminate, jaccard, repeats
@@ -119,11 +120,42 @@ def test_repeats(docs, rows, none):
     assert repeats.digest(none).count() == 0
 
 
-def test_repeats_by_shuffle(docs, rows, monkeypatch):
-    monkeypatch.setattr(repeats, "BROADCAST_TRIGGERS", 0)
-    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
+@pytest.mark.parametrize("modulus", [1, 7, 1 << 40])
+def test_repeats_by_shuffle(docs, rows, monkeypatch, modulus):
+    """Every gram a trigger, some, and none; classes over several batches; texts in pieces."""
+    monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(repeats, "MODULUS", modulus)
+    monkeypatch.setattr(repeats, "ROWS", 3)
+    monkeypatch.setattr(repeats, "WINDOWS", 20)
     monkeypatch.setattr(repeats, "_PIECE", 700)
-    assert Counter(tuple(r) for r in repeats.digest(docs).collect()) == expected_repeats(rows)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert Counter(tuple(r) for r in repeats.digest(docs).collect()) == expected_repeats(rows)
+    finally:
+        docs.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_repeats_tie(spark, turn):
+    """Two texts of one id share a passage at one place: neither starts earlier. A later document loses it."""
+    passage = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, f"{passage} one end"), (1, f"{passage} and another"), (2, f"x {passage}")][::turn]
+    got = Counter(tuple(r) for r in repeats.digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == expected_repeats(rows) and sum(r[2] > 0 for r in got) == 1
+
+
+def test_parse_is_of_the_window_alone():
+    """A window's core and its place follow from its bytes, wherever it stands."""
+    rng = np.random.default_rng(3)
+    inner = rng.integers(97, 100, 300).astype(np.uint8)
+    found = []
+    for lead in (0, 17, 211):
+        b = np.concatenate([rng.integers(97, 100, lead).astype(np.uint8), inner, rng.integers(97, 100, 90).astype(np.uint8)])
+        _, lo, hi, g, h = repeats.parse(b, np.array([0, len(b)]))
+        assert (hi - lo + 1).sum() == len(b) - 99 and (g >= hi).all() and (g + 62 <= lo + 100).all()
+        own = {int(w): (int(x - w), int(y)) for s, e, x, y in zip(lo, hi, g, h, strict=True) for w in range(s, e + 1)}
+        found.append([own[lead + k] for k in range(201)])
+    assert found[0] == found[1] == found[2]
 
 
 ITEMS = [(0, "w1 w2 w3"), (1, None), (2, ""), (3, "Lonely"), (None, "no id item words"), (4, "same same same same same same same same same same same")]

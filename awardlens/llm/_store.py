@@ -38,11 +38,32 @@ def kept(table: DataFrame, name: str) -> DataFrame:
     The driver's garbage is collected, as Spark deletes the shuffle files of a finished step only when the driver no
     longer refers to them; else all steps' files would lie on the disks together.
     """
+    return _written(place(table.sparkSession, name), table)
+
+
+def _written(path: str, table: DataFrame) -> DataFrame:
     spark = table.sparkSession
-    path = place(spark, name)
     table.write.option("compression", "zstd").parquet(path)
     schema = table.schema
     del table
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
+
+
+class Scratch:
+    """The written steps of one run of an operator, each deleted as soon as no later step reads it."""
+
+    def __init__(self, name: str):
+        self.name, self.tables = name, {}
+
+    def kept(self, step: str, table: DataFrame) -> DataFrame:
+        spark, path = table.sparkSession, place(table.sparkSession, f"{self.name}-{step}")
+        self.tables[step] = spark, path
+        return _written(path, table)
+
+    def drop(self, *steps: str) -> None:
+        for step in steps:
+            spark, path = self.tables.pop(step)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,7 +6,9 @@ follows from its bytes alone, so equal windows belong to equal triggers at the s
 window's CORE bytes on the side where it has room: windows with one core are a class, which can be settled alone.
 
 1. The parse: neighbouring windows with one core are a phrase. Each text gives its phrases' core hashes. A core that only
-   one place has can't be in a repeated window; the rest, few in ordinary text, go back to their texts.
+   one place has can't be in a repeated window; the rest, few in ordinary text, go back to their texts. A core that more
+   than HOT texts have is split: windows by how many bytes they have before it, finely where few are left on either side,
+   each part by the bytes that all its windows share.
 2. The dictionary: the phrases with these cores are cut from the texts, each from its first window to the core's end, and
    with them what follows in the parse, as far as a window reaches. Those alike within a batch are sent once.
 3. In each class, the suffix array of the dictionary's distinct phrases ranks where a window begins, the suffix array of
@@ -40,7 +42,9 @@ from . import _store, _text
 
 LENGTH, GRAM, MODULUS = 100, 24, 64
 #: Bytes of listed cores, and of intervals, that are sent to every executor; beyond, the texts are shuffled.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 1 << 20
+#: Texts with a core beyond which its windows are split.
+HOT = 1000
 #: Rows of classes settled together, and the parts that a core's or a whole text's rows are dealt to in joins.
 ROWS, SALTS = 8192, 8
 #: Windows compared at once, about; those with more and fewer bytes before their core are never alike.
@@ -55,6 +59,17 @@ def _sides(length: int, gram: int) -> tuple[int, int, int]:
     return side, length - gram - side, gram + side
 
 
+def _parts(around: int) -> list[tuple[int, int]]:
+    """Ranges of the bytes before a core: 0, 1, 2 to 3, 4 to 7, ... and the same for the bytes after it."""
+    out, low = [], 0
+    while low <= around // 2:
+        out.append((low, min(max(low, 2 * low - 1), around // 2)))
+        low = out[-1][1] + 1
+    for p, q in out[::-1]:
+        out.append((max(around - q, around // 2 + 1), around - p))
+    return [x for x in out if x[0] <= x[1]]
+
+
 def _least(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n neighbours."""
     size = 1
@@ -176,6 +191,7 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
     A phrase that the batch has alike earlier in the corpus is repeated whole; it gives an interval s..e without bytes.
     """
     names = ["h", *_KEY, "s", "e", "text"]
+    _, around, core = _sides(length, gram)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j, b, at in _text.chunks(batch.column(1)):
@@ -190,6 +206,16 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             doc, lo, hi, g, h = doc[keep], lo[keep], hi[keep], g[keep], h[keep]
             if not len(h):
                 continue
+            common = batch.column(5).slice(i, j - i).flatten().unique().to_numpy(zero_copy_only=False)
+            hot = np.isin(h, common) if len(common) else np.zeros(len(h), bool)
+            if hot.any():
+                split = [[x[~hot] for x in (doc, lo, hi, g, h)]]
+                for low, high in _parts(around):
+                    some = hot & (g - hi <= high) & (g - lo >= low)
+                    d, start, end, at_core, name = doc[some], np.maximum(lo[some], g[some] - high), np.minimum(hi[some], g[some] - low), g[some], h[some].view(np.uint64)
+                    inner = _text.hashes(b, (at_core - low, at_core + core + around - high))[0]
+                    split.append([d, start, end, at_core, _text.mix(_text.mix(name ^ inner) + np.uint64(low)).view(np.int64)])
+                doc, lo, hi, g, h = (np.concatenate(x) for x in zip(*split, strict=True))
             size = hi + length - lo
             texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(b[_ranges(lo, size)])]).cast(pa.binary())
             code, place, before, mine = texts.dictionary_encode().indices.to_numpy(), g - at[doc], g - lo, ids[i:j][doc]
@@ -364,9 +390,8 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
     """The documents as _id, _t, _k, _k2, and the intervals of those that lose bytes."""
     _store.bounded(docs.sparkSession)
 
-    def kept(name: str, table: DataFrame) -> DataFrame:
-        return _store.kept(table, f"repeats-{name}")
-
+    scratch = _store.Scratch("repeats")
+    kept = scratch.kept
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_k"), F.xxhash64(F.lit(7), text).alias("_k2"))
     key = T.StructType().add("id", "long").add("k", "long").add("k2", "long")
@@ -380,15 +405,15 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     rows = parsed.select("k", F.explode("once").alias("h"))
     both = rows.unionByName(parsed.select(F.bitwise_not("k").alias("k"), F.explode("twice").alias("h")))
-    shared = both.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo != hi").select("h", salts)
-    listed = rows.withColumn("salt", salt("k")).join(shared, ["h", "salt"]).groupBy("k").agg(F.collect_set("h").alias("hs"))
+    shared = both.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), (F.count("*") > HOT).alias("hot")).filter("lo != hi").select("h", "hot", salts)
+    listed = rows.withColumn("salt", salt("k")).join(shared, ["h", "salt"]).groupBy("k").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     firsts = parsed.filter(F.col("n") >= length).groupBy("k", "k2", "id").agg(F.count("*").alias("rows")).groupBy("k", "k2").agg(F.min(F.struct("id", "rows")).alias("least"), F.count("*").alias("ids"))
     names = kept("texts", firsts.select("k", "k2", "least.*", "ids"))
-    listed = kept("listed", names.join(listed, "k").select(F.col("id").alias("_lid"), F.col("k").alias("_lk"), F.col("k2").alias("_lk2"), "rows", "hs"))
+    listed = kept("listed", names.join(listed, "k").select(F.col("id").alias("_lid"), F.col("k").alias("_lk"), F.col("k2").alias("_lk2"), "rows", "hs", "hot"))
     size, most = listed.agg(F.sum(F.size("hs") * 8 + 64), F.max("rows")).first()
     if (size or 0) <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
-    found = own.join(listed, (F.col("_id") == F.col("_lid")) & (F.col("_k") == F.col("_lk")) & (F.col("_k2") == F.col("_lk2"))).select("_id", "_t", "_k", "_k2", "rows", "hs")
+    found = own.join(listed, (F.col("_id") == F.col("_lid")) & (F.col("_k") == F.col("_lk")) & (F.col("_k2") == F.col("_lk2"))).select("_id", "_t", "_k", "_k2", "rows", "hs", "hot")
     # Rows alike in id and text are one document: parsed once, or each would repeat the other. Only their texts are shuffled.
     if (most or 0) > 1:
         found = found.filter("rows = 1").unionByName(found.filter("rows > 1").dropDuplicates(["_id", "_k", "_k2"]))
@@ -406,6 +431,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
     copies = parsed.filter(F.col("n") >= length).select(*_KEY, "n", salt("id").alias("salt")).join(copied, ["k", "k2", "salt"]).filter("id > first")
     copies = copies.groupBy(*_KEY).agg(F.first("n").alias("n")).select(*_KEY, F.array(F.lit(0).cast("long"), F.col("n")).alias("spans"))
     spans = kept("spans", merged.unionByName(copies).select(F.col("id").alias("_sid"), F.col("k").alias("_sk"), F.col("k2").alias("_sk2"), "spans"))
+    scratch.drop("parse", "texts", "listed", "phrases")
     size = spans.agg(F.sum(F.size("spans") * 8 + 64)).first()[0]
     return own, F.broadcast(spans) if (size or 0) <= BROADCAST_BYTES else spans
 

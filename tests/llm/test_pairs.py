@@ -125,6 +125,7 @@ def test_repeats_by_shuffle(docs, rows, monkeypatch, modulus):
     """Every gram a trigger, some, and none; classes over several batches; texts in pieces."""
     monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(repeats, "MODULUS", modulus)
+    monkeypatch.setattr(repeats, "HOT", 3)
     monkeypatch.setattr(repeats, "ROWS", 3)
     monkeypatch.setattr(repeats, "WINDOWS", 20)
     monkeypatch.setattr(repeats, "_PIECE", 700)
@@ -144,6 +145,11 @@ def test_repeats_tie(spark, turn):
     assert got == expected_repeats(rows) and sum(r[2] > 0 for r in got) == 1
 
 
+def test_hot_parts_cover():
+    for around in (0, 1, 2, 5, 38, 39):
+        assert sorted(x for p, q in repeats._parts(around) for x in range(p, q + 1)) == list(range(around + 1))
+
+
 def test_parse_is_of_the_window_alone():
     """A window's core and its place follow from its bytes, wherever it stands."""
     rng = np.random.default_rng(3)

@@ -9,14 +9,16 @@ _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 OP10 = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, {_WORDS}) AS ws FROM documents),
-b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOW}, {_WORDS}) AS ws FROM benchmark),
-win AS MATERIALIZED (SELECT DISTINCT item, least(len(ws), 10) AS m, array_to_string(ws[i:i + 9], ' ') AS g FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) x(i) WHERE len(ws) > 0),
+b AS (SELECT row_number() OVER () AS it, coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOW}, {_WORDS}) AS ws FROM benchmark),
+win AS MATERIALIZED (SELECT it, item, p, least(len(ws), 10) AS m, array_to_string(ws[p:p + 9], ' ') AS g FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) x(p) WHERE len(ws) > 0),
 pos AS (SELECT doc_id, i, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM d, (SELECT DISTINCT m FROM win) l, unnest(range(1, len(ws) - m + 2)) x(i)),
-hit AS MATERIALIZED (SELECT doc_id, i, win.m, item FROM pos JOIN win ON pos.m = win.m AND pos.g = win.g),
+hit AS MATERIALIZED (SELECT doc_id, i, win.m, it, item, p FROM pos JOIN win ON pos.m = win.m AND pos.g = win.g),
 cov AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
-SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, cov.n IS NOT NULL AS contaminated
-FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1),
+run AS (SELECT doc_id, max(n) AS n FROM (
+  SELECT doc_id, count(*) + max(m) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, it, i - p ORDER BY i) AS run FROM hit) GROUP BY doc_id, it, i - p, run) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, cov.n IS NOT NULL AS contaminated, coalesce(run.n, 0)::BIGINT AS longest
+FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.doc_id LEFT JOIN run ON d.doc_id = run.doc_id
 """
 
 OP8 = rf"""

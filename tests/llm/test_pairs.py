@@ -7,7 +7,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from awardlens.llm import components, decontaminate, jaccard, repeats
 
@@ -202,8 +205,38 @@ def test_decontamination(spark, docs, rows, none):
     assert kept.columns == docs.columns
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
-    with pytest.raises(ValueError, match="parts"):
-        decontaminate.contamination(docs, bench, max_bytes=10)
+    # A benchmark in parts gives the same rows.
+    whole = Counter(str(tuple(r)) for r in decontaminate.contamination(docs, bench).collect())
+    assert Counter(str(tuple(r)) for r in decontaminate.contamination(docs, bench, max_bytes=300).collect()) == whole
+    assert Counter(r["doc_id"] for r in decontaminate.decontaminate(docs, bench, max_bytes=300).collect()) == Counter(r["doc_id"] for r in kept.collect())
+    assert Counter(map(tuple, decontaminate.longest_matches(docs, bench, max_bytes=300).collect())) == Counter(map(tuple, decontaminate.longest_matches(docs, bench).collect()))
+
+
+def test_decontamination_in_small_shards(docs, spark, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD", 400)
+    items = [*ITEMS, (5, " ".join(next(r[1] for r in rows if r[0] == 3).split()[4:40]))]
+    got = Counter(tuple(r)[:6] for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == expected_hits(rows, items)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), max_size=6), st.lists(st.lists(st.sampled_from("abcd"), max_size=9), max_size=5), st.integers(1, 6))
+def test_suffix_array_and_search(texts, items, window):
+    """The array has every suffix in order; every occurrence is found, by brute force."""
+    column = pa.array([" ".join(t) for t in texts], pa.string())
+    index = decontaminate.Index([(k, " ".join(t)) for k, t in enumerate(items)], window)
+    found = set()
+    for i, j, shard in decontaminate._pieces(column, window):
+        order = [[int(x) for x in shard.number[p : shard.own[np.searchsorted(shard.own, p, side="right")]]][:window] for p in shard.array]
+        assert sorted(shard.array.tolist()) == list(range(len(shard.number))) and order == sorted(order)
+        doc, place, pattern = shard.search(index)
+        found |= {(i + d, p, k, q) for d, p, k, q in zip(*decontaminate._expand(index, doc, place, pattern), strict=True)}
+    expected = set()
+    for k, t in enumerate(items):
+        n = min(window, len(t))
+        for q in range(len(t) - n + 1) if n else []:
+            expected |= {(d, p, k, q) for d, x in enumerate(texts) for p in range(len(x) - n + 1) if x[p : p + n] == t[q : q + n]}
+    assert found == expected
 
 
 def test_longest_matches(spark):

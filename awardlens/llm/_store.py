@@ -5,8 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -67,3 +72,19 @@ class Scratch:
             spark, path = self.tables.pop(step)
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns as one struct, row, so that names of any kind can't clash with those of a step."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The documents for whose texts keep gives true, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(0).field(at)), pa.bool_()))
+
+    return docs.select(row_of(docs)).mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

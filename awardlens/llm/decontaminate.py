@@ -353,17 +353,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     A batch's shards are built and searched where the batch is, once for each part of the benchmark, so that whole rows
     pass through and none is shuffled.
     """
-    at, schema = docs.columns.index(text_col), docs.schema
 
     def without(table: DataFrame, index) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for i, _, shard in _pieces(batch.column(at), window):
-                    keep[i + shard.search(index.value)[0]] = False
-                yield batch.filter(pa.array(keep))
+        def clean(texts: pa.Array) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            for i, _, shard in _pieces(texts, window):
+                keep[i + shard.search(index.value)[0]] = False
+            return keep
 
-        return table.mapInArrow(run, schema)
+        return _store.filtered(table, text_col, clean)
 
     for index in prepare(benchmark, window=window, **options):
         docs = without(docs, index)

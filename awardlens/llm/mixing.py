@@ -15,8 +15,8 @@ sources run as aggregates; the driver sees a few numbers for each step of the bi
 
 Documents are identified by (id, source, text): rows alike in these are one unit, given together. Defined results: a
 null source is a source of its own; null and empty texts have no tokens and ride along in their permutation; a source
-without tokens has weight 0 and is given once; an empty table gives empty results. Other columns are kept by realise
-and not read by plan.
+without tokens has weight 0 and is given once, BLOCK_ROWS documents a block from the first on; an empty table gives empty
+results. Other columns, of any names, are kept by realise and not read by plan.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SEED = 17
 STEPS = 32
 ROWS_A_BUCKET = 4096
 BROADCAST_SOURCES = 500_000
+#: Documents a block of a source without tokens.
+BLOCK_ROWS = 4096
 _LEVELS = 4
 
 
@@ -162,58 +164,47 @@ def weights(docs: DataFrame, budget: int | None = None, block_tokens: int = BLOC
 
 
 def _streams(own: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """A row for each unit and epoch, with the tokens of its stream before it."""
+    """A row for each unit and epoch, with the tokens of its stream before it, its block, and its order there."""
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("rows") / F.lit(float(ROWS_A_BUCKET))) / F.lit(math.log(16.0)))).cast("int")
     rows = own.join(_small(sources.withColumn("digits", digits)), "source")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     rows = rows.withColumn("h", _order(seed, F.col("epoch"), F.col("unit")))
     rows = rows.withColumn("bucket", F.substring("h", F.lit(1), F.col("digits")))
+    # Without tokens, documents are counted instead.
+    rows = rows.withColumn("size", F.when(F.col("t") > 0, F.col("tokens")).otherwise(1).cast("long"))
     keys = ["source", "epoch", "bucket"]
-    sums = rows.groupBy(*keys).agg(F.sum("tokens").alias("_s"))
+    sums = rows.groupBy(*keys).agg(F.sum("size").alias("_s"))
     before = Window.partitionBy("source", "epoch").orderBy("bucket")
     sums = sums.select(*keys, (F.sum("_s").over(before) - F.col("_s")).alias("_base"))
     within = Window.partitionBy(*keys).orderBy("h", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_own", F.sum("tokens").over(within) - F.col("tokens")).join(sums, keys)
-    rows = rows.withColumn("start", F.col("epoch") * F.col("t") + F.col("_base") + F.col("_own"))
+    rows = rows.withColumn("_own", F.sum("size").over(within) - F.col("size")).join(sums, keys)
+    place = F.col("_base") + F.col("_own")
+    rows = rows.withColumn("start", F.when(F.col("t") > 0, F.col("epoch") * F.col("t") + place).otherwise(0).cast("long"))
+    rows = rows.withColumn("block", F.when(F.col("t") > 0, F.floor(F.col("start") / F.col("quota"))).otherwise(F.floor(place / F.lit(BLOCK_ROWS))).cast("long"))
+    rows = rows.withColumn("again", F.md5(F.concat_ws("|", F.lit(f"{seed}b"), F.col("epoch").cast("string"), F.col("source"), F.col("unit")).cast("binary")))
     return rows.filter((F.col("epoch") < F.col("whole")) | (F.col("start") < F.col("budget")) | (F.col("t") == 0))
 
 
+#: The order of a block's rows.
+_WITHIN = ["again", "source", "unit", "epoch"]
+
+
 def plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The mixture: doc_id, source, epoch, start in the source's stream, tokens, copies, block and position in the block."""
-    own, sources = weights(docs, **options)
-    rows = _streams(own, sources, seed)
-    rows = rows.withColumn("block", F.floor(F.col("start") / F.col("quota")).cast("long"))
-    again = F.md5(F.concat_ws("|", F.lit(f"{seed}b"), F.col("epoch").cast("string"), F.col("source"), F.col("unit")).cast("binary"))
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("block").orderBy(again, "source", "unit", "epoch")).cast("long"))
+    rows = _streams(*weights(docs, **options), seed)
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("block").orderBy(*_WITHIN)).cast("long"))
     return rows.select("doc_id", F.when(F.col("source") == "-", F.lit(None)).otherwise(F.expr("substring(source, 2)")).alias("source"), "epoch", "start", "tokens", "copies", "block", "position")
 
 
 def realise(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents, each as often as the mixture has it, with all their columns.
+    """The mixture's documents with all their columns, in order of block and position: written, the files have this order.
 
-    Whole epochs need the source's row alone. Of the last one a document is taken if its hash is no greater than
-    the last one's within the budget, so the texts are never shuffled.
+    A document's rows in the mixture are few (its epochs); they meet its text by unit, and the texts are sorted by block.
     """
-    own, sources = weights(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    # Only the epoch after the whole ones is looked at, as a stream of its own.
-    tail = sources.select("source", "t", "rows", "budget", "whole")
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("rows") / F.lit(float(ROWS_A_BUCKET))) / F.lit(math.log(16.0)))).cast("int")
-    rows = own.join(_small(tail.withColumn("digits", digits)), "source").withColumn("h", _order(seed, F.col("whole"), F.col("unit")))
-    rows = rows.withColumn("bucket", F.substring("h", F.lit(1), F.col("digits")))
-    keys = ["source", "bucket"]
-    sums = rows.groupBy(*keys).agg(F.sum("tokens").alias("_s"))
-    sums = sums.select(*keys, (F.sum("_s").over(Window.partitionBy("source").orderBy("bucket")) - F.col("_s")).alias("_base"))
-    within = Window.partitionBy(*keys).orderBy("h", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_own", F.sum("tokens").over(within) - F.col("tokens")).join(sums, keys)
-    inside = (F.col("whole") * F.col("t") + F.col("_base") + F.col("_own") < F.col("budget")) | (F.col("t") == 0)
-    cut = rows.filter(inside).groupBy("source").agg(F.max(F.concat_ws("|", "h", "unit")).alias("__mix_cut"))
-    limits = tail.select(F.col("source").alias("__mix_source"), F.col("whole").alias("__mix_whole")).join(cut.withColumnRenamed("source", "__mix_source"), "__mix_source", "left")
-    path = _store.place(docs.sparkSession, "mixing-limits")
-    limits.write.parquet(path)
-    limits = docs.sparkSession.read.parquet(path)
-    own_names = [F.col(f"`{c}`") for c in docs.columns]
-    unit = unit_key(F.col(id_col), F.col(text_col))
-    mine = docs.select(*own_names, source_key(F.col(source_col)).alias("__mix_source"), unit.alias("__mix_unit")).join(_small(limits), "__mix_source")
-    taken = F.concat_ws("|", _order(seed, F.col("__mix_whole"), F.col("__mix_unit")), F.col("__mix_unit")) <= F.col("__mix_cut")
-    times = F.col("__mix_whole") + F.coalesce(taken, F.lit(False)).cast("long")
-    return mine.filter(times > 0).select(*own_names, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__mix_time")).drop("__mix_time")
+    streams = _streams(*weights(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options), seed).select("block", *_WITHIN)
+    path = _store.place(docs.sparkSession, "mixing-order")
+    streams.write.parquet(path)
+    streams = docs.sparkSession.read.schema(streams.schema).parquet(path)
+    mine = docs.select(_store.row_of(docs), source_key(F.col(f"`{source_col}`")).alias("source"), unit_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("unit"))
+    order = ["block", *_WITHIN]
+    return mine.join(streams, ["unit", "source"]).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

@@ -84,8 +84,9 @@ plan AS MATERIALIZED (SELECT source, t, budget, quota, CASE WHEN t > 0 THEN budg
   SELECT source, t, CASE WHEN t > 0 THEN greatest(round(weight * size, 0)::BIGINT, 1) ELSE 0 END AS budget, greatest(round(weight * {mixing.BLOCK_TOKENS}, 0)::BIGINT, 1) AS quota FROM w)),
 rows_ AS (SELECT u.*, t, budget, quota, whole, e AS epoch, md5('{mixing.SEED}|' || e || '|' || unit) AS h
   FROM u JOIN plan ON plan.source = u.source, unnest(range(0, CASE WHEN t > 0 THEN whole + (budget > whole * t)::BIGINT ELSE 1 END)) x(e)),
-placed AS (SELECT *, (epoch * t + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY h, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM rows_),
-kept AS (SELECT *, start // quota AS block FROM placed WHERE epoch < whole OR start < budget OR t = 0)
+placed AS (SELECT *, (epoch * t + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY h, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start,
+  row_number() OVER (PARTITION BY source, epoch ORDER BY h, unit) - 1 AS nth FROM rows_),
+kept AS (SELECT *, CASE WHEN t > 0 THEN start // quota ELSE nth // {mixing.BLOCK_ROWS} END AS block FROM placed WHERE epoch < whole OR start < budget OR t = 0)
 SELECT doc_id, CASE WHEN source <> '-' THEN substring(source, 2) END AS source, epoch::BIGINT AS epoch, start, tokens, copies, block,
   row_number() OVER (PARTITION BY block ORDER BY md5('{mixing.SEED}b|' || epoch || '|' || source || '|' || unit), source, unit, epoch) AS position FROM kept
 """

@@ -1,6 +1,6 @@
 """Token-ID output: documents as one stream of ids, in patched frame-of-reference blocks.
 
-Documents are dealt by range of doc_id and sorted within a range. Each task encodes its documents and writes
+Documents are dealt by range of doc_id, or of another order given, and sorted within a range. Each task encodes its documents and writes
 segments of at least SEGMENT ids: the documents' ids and lengths, and an image of blocks (see pfor). A segment says
 how many ids of its part come before it, so a document's start in the whole stream needs a sum over parts alone.
 
@@ -24,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _store, _text, pfor
@@ -265,16 +266,30 @@ def _segments(batches: Iterator[pa.RecordBatch], content: str, end: int) -> Iter
 _SCHEMA = "part int, seq int, before long, n_ids long, doc_ids array<bigint>, sizes array<bigint>, image binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> None:
+def written_order(docs: DataFrame) -> list[Column]:
+    """The order of the rows of a table read from Spark's Parquet files: number and name of the file, and row in it.
+
+    A frame that isn't read from files has no such order, and gets none.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return []
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"), name, F.col("_metadata.row_index")]
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, order: list[Column] | None = None) -> None:
     """Write the documents' ids as segments in a Parquet table at path, which all executors can reach.
 
-    tokenizer: the path of a tokenizers file; the driver reads it.
+    tokenizer: the path of a tokenizers file; the driver reads it. order: columns to sort the stream by, before doc_id.
     """
     with open(tokenizer, encoding="utf-8") as f:
         content = _store.bounded(docs.sparkSession).sparkContext.broadcast(f.read())
-    order = ["_id", F.xxhash64("_t")]
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _segments(b, content.value, end), _SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    first = order or []
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), *(x.alias(f"_o{k}") for k, x in enumerate(first)))
+    by = [*(f"_o{k}" for k in range(len(first))), "_id", F.xxhash64("_t")]
+    own.repartitionByRange(*by).sortWithinPartitions(*by).select("_id", "_t").mapInArrow(lambda b: _segments(b, content.value, end), _SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -253,10 +253,5 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    shared, at = _store.bounded(docs.sparkSession).sparkContext.broadcast(machine), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column(at)) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    shared = _store.bounded(docs.sparkSession).sparkContext.broadcast(machine)
+    return _store.filtered(docs, text_col, lambda texts: shared.value.score(texts) < threshold)

@@ -290,9 +290,9 @@ def brute_mix(rows, entropy=mixing.ENTROPY, repeats=mixing.REPEATS, block=mixing
         whole = spent // t if t else 0
         for e in range(whole + (spent > whole * t) if t else 1):
             at = e * t
-            for k, u in sorted(own, key=lambda x: (md5(f"{seed}|{e}|{x[0]}"), x[0])):
+            for nth, (k, u) in enumerate(sorted(own, key=lambda x: (md5(f"{seed}|{e}|{x[0]}"), x[0]))):
                 if e < whole or at < spent or not t:
-                    out.append((u[0], None if source == "-" else source[1:], e, at, u[2], u[1], at // quota))
+                    out.append((u[0], None if source == "-" else source[1:], e, at, u[2], u[1], at // quota if t else nth // mixing.BLOCK_ROWS))
                 at += u[2]
     return Counter(out)
 
@@ -300,6 +300,8 @@ def brute_mix(rows, entropy=mixing.ENTROPY, repeats=mixing.REPEATS, block=mixing
 @pytest.mark.parametrize("options", [{}, {"budget": 3000, "repeats": None}, {"budget": 90_000, "repeats": 3.0}, {"entropy": 0.5, "repeats": 1.5}])
 def test_mixing(docs, rows, none, options, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_A_BUCKET", 4)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    docs, rows = docs.unionByName(docs.sparkSession.createDataFrame(hollow := [(900 + k, " ", None, "hollow", 1, None, None, None, None) for k in range(5)], docs.schema)), rows + hollow
     got = mixing.plan(docs, block_tokens=700, **options).collect()
     expected = brute_mix(rows, block=700, **options)
     assert Counter(tuple(r)[:7] for r in got) == expected
@@ -324,3 +326,20 @@ def test_mixing_meets_its_targets(spark):
     assert -(share * np.log(share)).sum() / math.log(7) == pytest.approx(0.9, abs=0.01)
     most = mixing.plan(df, repeats=2.0, entropy=1.0).groupBy("doc_id").count().agg({"count": "max"}).first()[0]
     assert most == 2
+
+
+def test_mixture_order_reaches_the_stream(spark, tmp_path):
+    """Written and read again, rows are in order of block and position; repeats of a document are no neighbours."""
+    rows = [(k, f"w{k} " * 10, None, "big" if k < 700 else f"s{k % 6}", 0) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    mixing.realise(df, block_tokens=700).write.parquet(f"file://{tmp_path}/mixed")
+    docs = spark.read.parquet(f"file://{tmp_path}/mixed")
+    tokens.write(docs, f"file://{tmp_path}/ids", queries.vocabulary(), order=tokens.written_order(docs))
+    got = [r["doc_id"] for r in tokens.read(spark, f"file://{tmp_path}/ids").orderBy("start").collect()]
+    planned = mixing.plan(df, block_tokens=700).orderBy("block", "position").collect()
+    assert got == [r["doc_id"] for r in planned]
+    assert max(Counter(got).values()) == 2 and not any(a == b for a, b in zip(got, got[1:], strict=False))
+    # Sources are mixed in each block: none is over its weight by more than a document or two.
+    first = [r["source"] for r in planned if r["block"] == 0]
+    assert len(set(first)) == 7
+    assert tokens.written_order(df) == []

@@ -2,8 +2,9 @@
 
 Each stage takes what its predecessor kept, whole. The first four return the columns of documents: without toxic
 documents; with the first document of each group of near copies; without documents that hold a window of the
-benchmark; and each as often as its source's weight in the mixture asks for, at least once by the default budget.
-The last writes the token ids and returns, for each document of the stream, its place, size and checksum.
+benchmark; and each as often as its source's weight in the mixture asks for, at least once by the default budget, in
+the order of the mixture's blocks. The last writes the token ids in the order of its input's files, which is that order,
+and returns, for each document of the stream, its place, size and checksum.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, repeated as the weights of the sources ask for."""
+    """Every document, repeated as the weights of the sources ask for, sorted by the mixture's block and position."""
     return mixing.realise(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' places in the written token stream."""
+    """The documents' places in the written token stream, which keeps the order that docs was written in."""
     path = _store.place(spark, "token-ids")
-    tokens.write(docs, path, vocabulary())
+    tokens.write(docs, path, vocabulary(), order=tokens.written_order(docs))
     return tokens.read(spark, path)
 
 

@@ -37,41 +37,50 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(table: DataFrame, name: str) -> DataFrame:
-    """The table, written to a new place and read from there: what made it isn't run again.
+#: Spark deletes a statement's shuffle files when the statement ends, and not whenever the driver's garbage is collected.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The driver's garbage is collected, as Spark deletes the shuffle files of a finished step only when the driver no
-    longer refers to them; else all steps' files would lie on the disks together.
-    """
-    return _written(place(table.sparkSession, name), table)
 
+def write(table: DataFrame, path: str, **options) -> DataFrame:
+    """Write the table as Parquet at path and read it from there: what made it isn't run again, and its shuffle files go.
 
-def _written(path: str, table: DataFrame) -> DataFrame:
+    The driver's garbage is collected before, so that files of finished statements elsewhere aren't on the disks as well.
+    """
     spark = table.sparkSession
-    table.write.option("compression", "zstd").parquet(path)
-    schema = table.schema
-    del table
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        table.write.mode("overwrite").options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def kept(table: DataFrame, name: str) -> DataFrame:
+    """The table, written to a new place and read from there."""
+    return write(table, place(table.sparkSession, name))
 
 
 class Scratch:
-    """The written steps of one run of an operator, each deleted as soon as no later step reads it."""
+    """The written steps of one run of an operator, each deleted when no later step reads it."""
 
     def __init__(self, name: str):
-        self.name, self.tables = name, {}
+        self.name, self.paths = name, {}
 
     def kept(self, step: str, table: DataFrame) -> DataFrame:
-        spark, path = table.sparkSession, place(table.sparkSession, f"{self.name}-{step}")
-        self.tables[step] = spark, path
-        return _written(path, table)
-
-    def drop(self, *steps: str) -> None:
-        for step in steps:
-            spark, path = self.tables.pop(step)
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        path = place(table.sparkSession, f"{self.name}-{step}")
+        self.paths.setdefault(step, []).append(path)
+        self.spark = table.sparkSession
+        return write(table, path)
+
+    def drop(self, *steps: str, but: tuple[str, ...] = ()) -> None:
+        """Delete these steps' tables; without names, all but those of ``but``."""
+        for step in steps or [x for x in self.paths if x not in but]:
+            for path in self.paths.pop(step, []):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def row_of(docs: DataFrame) -> Column:

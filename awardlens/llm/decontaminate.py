@@ -188,9 +188,8 @@ def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 number += 1
 
     schema = _SCHEMA.format(docs.schema[id_col].dataType.simpleString())
-    spark = _store.bounded(docs.sparkSession)
-    docs.select(id_col, text_col).mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _store.bounded(docs.sparkSession)
+    return _store.write(docs.select(id_col, text_col).mapInArrow(run, schema), path)
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, Shard]]:

@@ -148,19 +148,10 @@ def _small(table: DataFrame) -> DataFrame:
 
 def weights(docs: DataFrame, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> tuple[DataFrame, DataFrame]:
     """The units, and for each source its weight, budget, epochs and tokens of a block; both are written tables."""
-    spark = docs.sparkSession
-    kept = []
-    own = units(docs, id_col, text_col, source_col)
-    for name, table in (("units", lambda: own), ("sources", lambda: _weights(kept[1], budget, block_tokens, **options))):
-        if name == "sources":
-            # Read by every step of the bisection, so it is written first.
-            path = _store.place(spark, "mixing-totals")
-            kept[0].groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("rows")).write.parquet(path)
-            kept.append(spark.read.parquet(path))
-        path = _store.place(spark, f"mixing-{name}")
-        table().write.parquet(path)
-        kept.append(spark.read.parquet(path))
-    return kept[0], kept[2]
+    own = _store.kept(units(docs, id_col, text_col, source_col), "mixing-units")
+    # Read by every step of the bisection, so it is written first.
+    totals = _store.kept(own.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("rows")), "mixing-totals")
+    return own, _store.kept(_weights(totals, budget, block_tokens, **options), "mixing-sources")
 
 
 def _streams(own: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -202,9 +193,7 @@ def realise(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col:
     A document's rows in the mixture are few (its epochs); they meet its text by unit, and the texts are sorted by block.
     """
     streams = _streams(*weights(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options), seed).select("block", *_WITHIN)
-    path = _store.place(docs.sparkSession, "mixing-order")
-    streams.write.parquet(path)
-    streams = docs.sparkSession.read.schema(streams.schema).parquet(path)
+    streams = _store.kept(streams, "mixing-order")
     mine = docs.select(_store.row_of(docs), source_key(F.col(f"`{source_col}`")).alias("source"), unit_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("unit"))
     order = ["block", *_WITHIN]
     return mine.join(streams, ["unit", "source"]).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

@@ -289,7 +289,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     first = order or []
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), *(x.alias(f"_o{k}") for k, x in enumerate(first)))
     by = [*(f"_o{k}" for k in range(len(first))), "_id", F.xxhash64("_t")]
-    own.repartitionByRange(*by).sortWithinPartitions(*by).select("_id", "_t").mapInArrow(lambda b: _segments(b, content.value, end), _SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _store.write(own.repartitionByRange(*by).sortWithinPartitions(*by).select("_id", "_t").mapInArrow(lambda b: _segments(b, content.value, end), _SCHEMA), path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
 
     # 2**bits + 1 rows at most come to the driver, to be ranked by smoothed log odds over their standard error.
     # Bucket -1 has the rows themselves: labels of unknown documents aren't among them, and repeated rows count as often as their terms do.
-    seen = texts.select("_t", "_y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().sort_values("bucket")
+    seen = texts.select("_t", "_y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("bucket").to_pandas()
     n0, n1 = (int(seen.loc[seen["bucket"] == -1, k].sum()) for k in ("n0", "n1"))
     none = np.full(1 << bits, -1, np.int64)
     if not n1 or not n0:
@@ -225,17 +225,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, values = [], []
-            for _, _, at, column, value in features(batch.column(0), column_of, bits):
-                for s, e in zip(at[:-1], at[1:], strict=True):
-                    columns.append(column[s:e].astype(np.int32).tobytes())
-                    values.append(value[s:e].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["h", "y", "c", "v"])
-
-    got = picked.select("_t", "_y", F.xxhash64("_id", "_t").alias("_h")).mapInArrow(encode, "h long, y int, c binary, v binary").collect()
-    got.sort(key=lambda r: (r[0], r[1]))
-    y = np.array([r[1] for r in got], float)
-    rows = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got]
+            for i, j, at, column, value in features(batch.column(0), column_of, bits):
+                cells = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (column.astype(np.int32), value.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), batch.column(1).slice(i, j - i), *cells], names=["h", "y", "c", "v"])
+
+    # About 8 bytes a term of a row; Arrow's own buffers hold them once, and rows are views of those.
+    got = picked.select("_t", "_y", F.xxhash64("_id", "_t").alias("_h")).mapInArrow(encode, "h long, y int, c array<int>, v array<float>").toArrow()
+    rows, key, y = [], got.column("h").to_numpy(), got.column("y").to_numpy().astype(float)
+    for c, v in zip(got.column("c").chunks, got.column("v").chunks, strict=True):
+        at = c.offsets.to_numpy()
+        columns, values = c.values.to_numpy(), v.values.to_numpy()
+        rows += [(columns[s:e], values[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+    del got
+    order = np.lexsort((y, key))
+    y, rows = y[order], [rows[k] for k in order]
     start = fit_machine([(c[c < len(best)], x[c < len(best)].astype(float)) for c, x in rows], y, max(1, len(best)))
     return Machine(bits, column_of, *refine(rows, y, max(1, len(best) + len(rest)), start, epochs=max(2, min(25, VISITS // max(1, len(rows))))))
 

@@ -9,6 +9,28 @@ from ..config import DEFAULT, EngineConfig
 
 FRACTIONS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70)
 BANDS = ("LOW", "MEDIUM", "HIGH")
+#: Ranges of scores that are ranked apart, each by a task.
+RANGES = 1024
+
+
+def _range() -> Column:
+    """The range of the score p, from 0 to 1; all others, and none, count as the nearest."""
+    return F.coalesce(F.least(F.greatest(F.floor(F.col("p") * RANGES), F.lit(0)), F.lit(RANGES - 1)), F.lit(-1)).cast("int")
+
+
+def _before(by: DataFrame, *names: str, descending: bool = False) -> DataFrame:
+    """For distinct scores, _x_before of each named column x: its sum over the lower scores, or the higher ones.
+
+    Sums within a range of scores, and RANGES sums of ranges: no task ranks all scores.
+    """
+    down = F.desc if descending else F.asc
+    ranged = by.withColumn("_range", _range())
+    totals = ranged.groupBy("_range").agg(*(F.sum(x).alias(f"_{x}_sum") for x in names))
+    over = Window.orderBy(down("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *(F.coalesce(F.sum(f"_{x}_sum").over(over), F.lit(0)).alias(f"_{x}_base") for x in names))
+    within = Window.partitionBy("_range").orderBy(down("p")).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumns({f"_{x}_own": F.coalesce(F.sum(x).over(within), F.lit(0)) for x in names})
+    return ranged.join(F.broadcast(totals), "_range").select(*by.columns, *((F.col(f"_{x}_base") + F.col(f"_{x}_own")).alias(f"_{x}_before") for x in names))
 
 
 def target(config: EngineConfig = DEFAULT) -> Column:
@@ -36,12 +58,12 @@ def split_name(config: EngineConfig = DEFAULT) -> Column:
 def precision_at_top_decile(scored: DataFrame, tie: str) -> DataFrame:
     """The share of y among the tenth with the highest scores, one row at least.
 
-    The cut is found first, as the score of that rank by a descending count of scores, so no task ranks all rows alone:
-    ties at the cut are taken by the tie column, of the tied rows only.
+    The cut is found first, as the score of that rank, by counts of scores ranked in ranges, so no task ranks all rows or
+    scores alone: ties at the cut are taken by the tie column, of the tied rows only.
     """
     n = scored.agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.1)).alias("_n"))
     by = scored.groupBy("p").agg(F.count("*").alias("_m"), F.sum("y").alias("_y"))
-    above = by.withColumn("_before", F.sum("_m").over(Window.orderBy(F.desc("p"))) - F.col("_m")).crossJoin(F.broadcast(n))
+    above = _before(by, "_m", descending=True).withColumnRenamed("__m_before", "_before").crossJoin(F.broadcast(n))
     whole = above.filter(F.col("_before") + F.col("_m") <= F.col("_n")).agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("_hit"), F.coalesce(F.sum("_m"), F.lit(0)).alias("_taken"))
     edge = above.filter((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_m") > F.col("_n"))).select(F.col("p").alias("_p"), (F.col("_n") - F.col("_before")).alias("_need"))
     tied = scored.join(F.broadcast(edge), F.col("p") == F.col("_p")).withColumn("_k", F.row_number().over(Window.orderBy(tie))).filter("_k <= _need").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("_more"))
@@ -59,10 +81,9 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """The chance that a positive scores above a negative, ties a half: by counts of distinct scores. NULL for one label."""
+    """The chance that a positive scores above a negative, ties a half: by counts of distinct scores, ranked in ranges. NULL for one label."""
     by = scored.groupBy("p").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = by.select("a", "b", (F.col("a") * (below + F.col("b") / 2)).alias("u")).agg(F.sum("u").alias("u"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = _before(by, "b").select("a", "b", (F.col("a") * (F.col("_b_before") + F.col("b") / 2)).alias("u")).agg(F.sum("u").alias("u"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return sums.select(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("u") / (F.col("a") * F.col("b"))).alias("auc"))
 
 
@@ -75,11 +96,13 @@ def evaluate(scored: DataFrame, threshold: float, tie: str) -> DataFrame:
 
 def threshold_table(scored: DataFrame) -> DataFrame:
     """For each share to flag its threshold, the rows flagged, recall and precision. Rounded after flagging."""
-    cuts = scored.agg(F.percentile("p", F.array(*(F.lit(1 - f) for f in FRACTIONS))).alias("t"), F.sum("y").alias("_pos"), F.count("*").alias("_all"))
-    cuts = cuts.select(F.posexplode(F.arrays_zip(F.array(*map(F.lit, FRACTIONS)).alias("f"), F.col("t"))).alias("k", "x"), "_pos", "_all").select("k", F.col("x.f").alias("flag_rate_target"), F.col("x.t").alias("t"), "_pos", "_all")
-    # The same 14 cuts for every row: counted as one aggregate of the scores.
-    by = scored.groupBy("p").agg(F.count("*").alias("m"), F.sum("y").alias("h"))
-    flagged = cuts.join(by, F.col("p") >= F.col("t"), "left").groupBy("k", "flag_rate_target", "t", "_pos", "_all").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("flagged"), F.coalesce(F.sum("h"), F.lit(0)).alias("tp"))
+    cuts = scored.agg(F.percentile("p", F.array(*(F.lit(1 - f) for f in FRACTIONS))).alias("t"))
+    # One row of 14 cuts: counted as conditional sums, map-side.
+    over = [F.col("p") >= F.get("t", F.lit(k)) for k in range(len(FRACTIONS))]
+    sums = [x for k, c in enumerate(over) for x in (F.count_if(c).alias(f"m{k}"), F.coalesce(F.sum(F.when(c, F.col("y"))), F.lit(0)).alias(f"h{k}"))]
+    counted = scored.crossJoin(F.broadcast(cuts)).agg(F.first("t").alias("t"), F.sum("y").alias("_pos"), F.count("*").alias("_all"), *sums)
+    cells = F.array(*(F.struct(F.lit(f).alias("f"), F.get("t", F.lit(k)).alias("t"), F.col(f"m{k}").alias("m"), F.col(f"h{k}").alias("h")) for k, f in enumerate(FRACTIONS)))
+    flagged = counted.select(F.explode(cells).alias("x"), "_pos", "_all").select(F.col("x.f").alias("flag_rate_target"), F.col("x.t").alias("t"), F.col("x.m").alias("flagged"), F.col("x.h").alias("tp"), "_pos", "_all")
     return flagged.select(
         "flag_rate_target",
         F.round("t", 6).alias("threshold"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,9 @@ def load(spark: SparkSession, path: str) -> Reference:
     return Reference({n: spark.read.parquet(f"{path}/{n}") for n in vintages.LADDERS}, spark.read.parquet(f"{path}/events"), version, None if lo is None else (lo, hi))
 
 
-def plan(cleaned: DataFrame, config: EngineConfig = DEFAULT, approximate: bool = False) -> Reference:
-    """The reference as plans, nothing run yet."""
-    contracts = clean.usable(clean.contract_grain(cleaned))
+def plan(cleaned: DataFrame, config: EngineConfig = DEFAULT, approximate: bool = False, keep: Callable[[DataFrame, str], DataFrame] = lambda table, name: table) -> Reference:
+    """The reference as plans, nothing run yet but what keep does with the contracts, which four ladders and the history read."""
+    contracts = keep(clean.usable(clean.contract_grain(cleaned)).select("procurement_category", "region", "global_practice", "supplier_key", "project_id", "signing_date", "amount_usd"), "contracts")
     events = clean.usable(cleaned) if config.history_grain == "row" else contracts
     ladders = {n: vintages.build(contracts, keys, config, approximate) for n, keys in vintages.LADDERS.items()}
     return Reference(ladders, events.select("supplier_key", "project_id", "signing_date"), config.version)

@@ -12,18 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import DEFAULT, EngineConfig
 from ..operators import anomaly, clean, cohort, features, flags, metrics, model, reference, rules
 from ..sources import records as R
+from .stored import stored
 
 
 def validated(raw: DataFrame, config: EngineConfig = DEFAULT, approximate: bool = False) -> tuple[DataFrame, reference.Reference]:
-    """The validated rows of a batch, with the reference made of it. Every statistic reads only the past, so there is no other fit."""
-    cleaned = clean.clean(raw, config)
-    made = reference.plan(cleaned, config, approximate)
+    """The validated rows of a batch, with the reference made of it. Every statistic reads only the past, so there is no other fit.
+
+    Cleaned rows and the contracts that statistics read are written once, as eight plans read them.
+    """
+    cleaned = stored(clean.clean(raw, config), "cleaned")
+    made = reference.plan(cleaned, config, approximate, stored)
     return flags.validate_batch(cleaned, made, config), made
 
 
 def feature_table(raw: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    cleaned = clean.clean(raw, config)
-    return features.engineer(cleaned, reference.plan(cleaned, config), config)
+    cleaned = stored(clean.clean(raw, config), "cleaned")
+    return features.engineer(cleaned, reference.plan(cleaned, config, keep=stored), config)
 
 
 def eligible(checked: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

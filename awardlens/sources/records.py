@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..config import COLUMNS
 
-#: Of each field, the names under which a record may have it, in this order. Amounts stay texts, to tell unreadable from missing.
-ALIASES = {own: (own, name) for name, own in COLUMNS.items()} | {"consortium_size": ("consortium_size",)}
+#: Of each field, the names under which a record may have it, the published one first. Amounts stay texts, to tell unreadable from missing.
+ALIASES = {own: (name, own) for name, own in COLUMNS.items()} | {"consortium_size": ("consortium_size",)}
 SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), *(T.StructField(own, T.LongType() if own in ("contract_id", "consortium_size") else T.StringType()) for own in ALIASES)])
 
 

@@ -99,7 +99,9 @@ def test_csv(spark, tmp_path):
 
 
 def test_record_aliases(spark):
-    assert records.value({"Region": "X", "region": None}, "region") is None
+    assert records.value({"Region": "X", "region": None}, "region") == "X"
+    assert records.value({"Region": None, "region": "X"}, "region") is None
+    assert records.value({"region": "X"}, "region") == "X"
     assert records.value({"Region": " "}, "region") is None
     row = records.from_records(spark, [{"Supplier Contract Amount (USD)": 5.5, "WB Contract Number": 3}]).first()
     assert (row["row_id"], row["amount_usd"], row["contract_id"], row["consortium_size"]) == (0, "5.5", 3, None)

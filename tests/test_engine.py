@@ -277,10 +277,10 @@ def test_explanations(spark):
     detector = anomaly.Detector(anomaly.grow(np.zeros((4, 2)), 1), ("log_amount", "amount_vs_practice_median", "consortium_size", "is_competitive_method"), 0.0, {"log_amount": [float(k) for k in range(101)], "amount_vs_practice_median": [float(k) for k in range(101)], "consortium_size": [1.0] * 95 + [2.0] * 6}, {"is_competitive_method": {True: 0.9, False: 0.1}}, DEFAULT)
     rows = spark.createDataFrame([(99.0, 100.0, 1, True), (50.0, 50.0, 1, True), (50.0, 0.0, 1, False), (None, None, 2, None)], "log_amount double, amount_vs_practice_median double, consortium_size int, is_competitive_method boolean")
     got = [r[0] for r in rows.select(detector.explanation()).collect()]
-    assert got[0] == "This contract is unusual for its training population: it has an amount far above the median for its global practice."
+    assert got[0] == "Rare among the contracts that the detector knows: it costs many times what its practice usually pays."
     assert got[1] == anomaly.ALONE
-    assert got[2] == "This contract is unusual for its training population: it has an amount far below the median for its global practice, combined with a non-competitive procurement method."
-    assert got[3] == "This contract is unusual for its training population: it has an unusually large joint venture."
+    assert got[2] == "Rare among the contracts that the detector knows: it costs a fraction of what its practice usually pays, and suppliers did not compete for it."
+    assert got[3] == "Rare among the contracts that the detector knows: very many suppliers share it."
 
 
 class Fixed:

@@ -4,42 +4,93 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.calendar import month_number
 
+#: Ranges of amounts for each doubling.
+BUCKETS = 8
 LADDERS = {"category_region": ("procurement_category", "region"), "category": ("procurement_category",), "overall": (), "practice": ("global_practice",)}
 
 
 def build(contracts: DataFrame, keys: tuple[str, ...], config: EngineConfig = DEFAULT, approximate: bool = False) -> DataFrame:
     """keys, m, median, support_n and the sketch of each month in which the group has a contract.
 
-    Amounts are counted by group, month and value before the window, whose frame is the growing prefix of earlier
-    months. Groups with a null key have no benchmark.
+    Quantiles are exact and no group is one task: amounts are dealt to ranges (BUCKETS for each doubling), a group's counts
+    by range and month say in which range each quantile of each month's growing prefix lies and at which place there, and
+    each range finds its places. Groups with a null key have no benchmark.
 
-    approximate: for groups beyond one task, as all contracts together are at scale. Each month is a KLL sketch, made
-    map-side, and the window merges one sketch a month; ranks are then within about one in a hundred.
+    approximate: each month is a KLL sketch, made map-side, and a window merges one sketch a month; ranks are then within
+    about one in a hundred.
     """
     points = [k / (config.sketch_points - 1) for k in range(config.sketch_points)]
     rows = contracts.select(*keys, month_number("signing_date").alias("m"), "amount_usd")
     if keys:
         rows = rows.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
-    before = Window.partitionBy(*keys).orderBy("m").rangeBetween(Window.unboundedPreceding, -1)
     if approximate:
+        before = Window.partitionBy(*keys).orderBy("m").rangeBetween(Window.unboundedPreceding, -1)
         months = rows.groupBy(*keys, "m").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("amount_usd", F.lit(800)).alias("k"))
         cells = months.select(*keys, "m", F.sum("n").over(before).alias("support_n"), F.kll_merge_agg_double("k").over(before).alias("k")).filter(F.col("support_n") >= config.min_group_support)
         cells = cells.select(*keys, "m", "support_n", F.kll_sketch_get_quantile_double("k", F.array(*map(F.lit, points))).alias("sketch"))
     else:
-        counted = rows.groupBy(*keys, "m", "amount_usd").agg(F.count("*").alias("n"))
-        cells = counted.select(*keys, "m", F.sum("n").over(before).alias("support_n"), F.percentile("amount_usd", F.array(*map(F.lit, points)), F.col("n")).over(before).alias("sketch"))
-        cells = cells.filter(F.col("support_n") >= config.min_group_support)
-        # One row a month, as the frame is the same for all amounts of it.
-        cells = cells.groupBy(*keys, "m").agg(F.first("support_n").alias("support_n"), F.first("sketch").alias("sketch"))
+        cells = _exact(rows, keys, points, config)
     return cells.select(*keys, "m", F.get("sketch", F.lit((config.sketch_points - 1) // 2)).alias("median"), "support_n", "sketch")
 
 
+def _exact(rows: DataFrame, keys: tuple[str, ...], points: list[float], config: EngineConfig) -> DataFrame:
+    """keys, m, support_n and sketch. Amounts are positive."""
+    group = ["_g", *keys]
+    counted = rows.groupBy(*keys, "m", "amount_usd").agg(F.count("*").alias("n")).filter("m is not null").withColumns({"_g": F.lit(0), "_b": F.floor(F.log2("amount_usd") * BUCKETS).cast("int")})
+    own = T.StructType([counted.schema[k] for k in group])
+    share, least = np.array(points), config.min_group_support
+
+    def places(table: pd.DataFrame) -> pd.DataFrame:
+        """Of one group's counts by range and month: for each month and range the quantiles there (2 k, 2 k + 1 for the values below and above point k), and their places."""
+        bucket, b = np.unique(table["_b"].to_numpy(), return_inverse=True)
+        month, m = np.unique(table["m"].to_numpy(), return_inverse=True)
+        grid = np.zeros((len(bucket), len(month) + 1), np.int64)
+        np.add.at(grid, (b, m + 1), table["n"].to_numpy())
+        top = np.cumsum(np.cumsum(grid, axis=1)[:, :-1], axis=0)  # of earlier months, up to each range
+        out = []
+        for j in np.flatnonzero(top[-1] >= max(least, 1)):
+            place = share * (top[-1, j] - 1)
+            rank = np.stack([np.floor(place), np.ceil(place)], axis=1).astype(np.int64).ravel()
+            at = np.searchsorted(top[:, j], rank, side="right")
+            rank -= np.where(at > 0, top[at - 1, j], 0)
+            cut = np.flatnonzero(np.diff(at, prepend=-1))
+            for s, e in zip(cut, [*cut[1:], len(at)], strict=True):
+                out.append((int(bucket[at[s]]), int(month[j]), int(top[-1, j]), list(range(s, e)), rank[s:e].tolist()))
+        found = pd.DataFrame(out, columns=["_b", "m", "support_n", "ks", "ranks"])
+        for k in group:
+            found.insert(0, k, table[k].iloc[0])
+        return found
+
+    def values(table: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        """The amounts at the wanted places of one range."""
+        table = table.sort_values("amount_usd")
+        amount, month, n = (table[c].to_numpy() for c in ("amount_usd", "m", "n"))
+        found = [amount[np.searchsorted(np.cumsum(np.where(month < m, n, 0)), np.asarray(r), side="right")].tolist() for m, r in zip(wanted["m"], wanted["ranks"], strict=True)]
+        return wanted[[*group, "m", "support_n", "ks"]].assign(vs=pd.Series(found, index=wanted.index, dtype=object))
+
+    asked = T.StructType([*own.fields]).add("_b", T.IntegerType()).add("m", T.IntegerType()).add("support_n", "long").add("ks", T.ArrayType(T.IntegerType())).add("ranks", T.ArrayType(T.LongType()))
+    wanted = counted.groupBy(*group, "_b", "m").agg(F.sum("n").alias("n")).groupBy(*group).applyInPandas(places, asked)
+    told = T.StructType([*own.fields]).add("m", T.IntegerType()).add("support_n", "long").add("ks", T.ArrayType(T.IntegerType())).add("vs", T.ArrayType(T.DoubleType()))
+    parts = counted.groupBy(*group, "_b").cogroup(wanted.groupBy(*group, "_b")).applyInPandas(values, told)
+    cells = parts.groupBy(*keys, "m").agg(F.first("support_n").alias("support_n"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("ks", "vs"))))["vs"].alias("vs"))
+
+    def between(k: Column) -> Column:
+        low, high = F.get("vs", 2 * k), F.get("vs", 2 * k + 1)
+        place = F.get(F.array(*map(F.lit, points)), k) * (F.col("support_n") - 1)
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return cells.withColumn("sketch", F.transform(F.sequence(F.lit(0), F.lit(len(points) - 1)), between))
+
+
 def percentile_of(amount: Column | str, sketch: Column | str) -> Column:
     """How many points of the sketch the amount reaches."""
     amount = F.col(amount) if isinstance(amount, str) else amount

@@ -92,7 +92,7 @@ def test_ladder(spark):
 
 @pytest.mark.parametrize(("change", "flag"), [
     ({"amount_usd": "0.0"}, "AMOUNT_NON_POSITIVE"), ({"amount_usd": "-5.0"}, "AMOUNT_NON_POSITIVE"), ({"amount_usd": None}, "AMOUNT_MISSING"), ({"amount_usd": "not a number"}, "AMOUNT_UNPARSEABLE"), ({"amount_usd": "nan"}, "AMOUNT_MISSING"),
-    ({"supplier_name_raw": None}, "SUPPLIER_MISSING"), ({"borrower_country": " "}, "BORROWER_COUNTRY_MISSING"), ({"procurement_category": None}, "PROCUREMENT_CATEGORY_MISSING"), ({"signing_date_raw": None}, "SIGNING_DATE_MISSING"),
+    ({"supplier_name_raw": None}, "SUPPLIER_MISSING"), ({"Borrower Country / Economy": " "}, "BORROWER_COUNTRY_MISSING"), ({"procurement_category": None}, "PROCUREMENT_CATEGORY_MISSING"), ({"signing_date_raw": None}, "SIGNING_DATE_MISSING"),
     ({"signing_date_raw": "2021-01-15"}, "SIGNING_DATE_UNPARSEABLE"), ({"procurement_method_raw": None}, "PROCUREMENT_METHOD_MISSING"), ({"procurement_method_raw": "Vibes"}, "PROCUREMENT_METHOD_UNMAPPED"),
 ])
 def test_fatal(spark, made, change, flag):

@@ -7,23 +7,30 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(table: DataFrame, name: str) -> DataFrame:
-    """The table, written as Parquet and read from there, so that its uses don't each plan and scan it again.
+def place(spark: SparkSession, name: str) -> str | None:
+    """A path for a new table that all executors see, or None.
 
-    It goes to the shared folder that spark.checkpoint.dir names. Where that is unset, a local session uses a folder of
-    its own, deleted at exit, and a cluster's table stays a plan, as executors would not see the driver's folders.
+    It is in the shared folder that spark.checkpoint.dir names. Where that is unset, a local session has a folder of its
+    own, deleted at exit, and a cluster none, as executors would not see the driver's folders.
     """
-    spark = table.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
-            return table
+            return None
         folder = tempfile.mkdtemp(prefix="awardlens-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
-    path = f"{base.rstrip('/')}/awardlens-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/awardlens-{name}-{uuid.uuid4().hex}"
+
+
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """The table, written as Parquet and read from there, so that its uses don't each plan and scan it again; without a place it stays a plan."""
+    spark = table.sparkSession
+    path = place(spark, name)
+    if path is None:
+        return table
     table.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(table.schema).parquet(path)

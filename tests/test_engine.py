@@ -240,22 +240,65 @@ def test_contributions_add_up(spark):
 
 
 def test_tree_shap_by_brute_force():
-    tree = model._Tree([0, 1, -1, -1, 0, -1, -1], [0.5, 0.3, 0, 0, 0.8, 0, 0], [1, 2, -1, -1, 5, -1, -1], [4, 3, -1, -1, 6, -1, -1], [0, 0, 1.0, 4.0, 0, 2.0, 7.0], [10, 6, 2, 4, 4, 3, 1])
+    """Against the sum over all coalitions, for a tree by hand and random ones that split on a feature more than once."""
+    from itertools import combinations
+    from math import factorial
 
-    def value(x, known, node=0):
+    def value(tree, x, known, node=0):
         f = tree.feature[node]
         if f < 0:
             return tree.value[node]
         a, b = tree.left[node], tree.right[node]
         if f in known:
-            return value(x, known, a if x[f] <= tree.threshold[node] else b)
-        return (tree.weight[a] * value(x, known, a) + tree.weight[b] * value(x, known, b)) / tree.weight[node]
-
-    for x in ([0.2, 0.1], [0.2, 0.9], [0.6, 0.1], [0.9, 0.5]):
-        phi = np.zeros(2)
-        model.tree_shap(tree, np.array(x), phi)
-        expected = [(value(x, {0}) - value(x, set()) + value(x, {0, 1}) - value(x, {1})) / 2, (value(x, {1}) - value(x, set()) + value(x, {0, 1}) - value(x, {0})) / 2]
-        assert np.allclose(phi, expected)
+            return value(tree, x, known, a if x[f] <= tree.threshold[node] else b)
+        return (tree.weight[a] * value(tree, x, known, a) + tree.weight[b] * value(tree, x, known, b)) / tree.weight[node]
+
+    def expected(trees, x):
+        out = np.zeros(len(x))
+        for j in range(len(x)):
+            others = [i for i in range(len(x)) if i != j]
+            for size in range(len(x)):
+                w = factorial(size) * factorial(len(x) - size - 1) / factorial(len(x))
+                for s in combinations(others, size):
+                    out[j] += w * sum(value(t, x, {*s, j}) - value(t, x, set(s)) for t in trees)
+        return out
+
+    rng = np.random.default_rng(3)
+
+    def grown(n_features, depth):
+        tree = model._Tree([], [], [], [], [], [])
+
+        def grow(weight, left):
+            k = len(tree.feature)
+            leaf = left == 0 or weight < 2 or (left < depth and rng.random() < 0.2)
+            for cells, v in zip((tree.feature, tree.threshold, tree.left, tree.right, tree.value, tree.weight), (-1 if leaf else int(rng.integers(n_features)), float(rng.integers(5)), -1, -1, float(rng.normal()), weight), strict=True):
+                cells.append(v)
+            if not leaf:
+                part = float(rng.integers(1, int(weight)))
+                tree.left[k], tree.right[k] = grow(part, left - 1), grow(weight - part, left - 1)
+            return k
+
+        grow(200.0, depth)
+        return tree
+
+    by_hand = model._Tree([0, 1, -1, -1, 0, -1, -1], [0.5, 0.3, 0, 0, 0.8, 0, 0], [1, 2, -1, -1, 5, -1, -1], [4, 3, -1, -1, 6, -1, -1], [0, 0, 1.0, 4.0, 0, 2.0, 7.0], [10, 6, 2, 4, 4, 3, 1])
+    x = np.array([[0.2, 0.1], [0.2, 0.9], [0.6, 0.1], [0.9, 0.5]])
+    assert np.allclose(model.tree_shap(model.leaves([by_hand]), x), [expected([by_hand], r) for r in x])
+    trees = [grown(4, 5) for _ in range(6)] + [model._Tree([-1], [0.0], [-1], [-1], [3.0], [9.0])]
+    x = rng.integers(-1, 6, (30, 4)).astype(float)
+    x[3, 1] = np.nan
+    assert np.allclose(model.tree_shap(model.leaves(trees), x, rows=7, block=10), [expected(trees, r) for r in x])
+
+
+def test_exported_trees(spark):
+    """Trees read from their written form are those walked node by node."""
+    parts = metrics.split(eligible_rows(spark))
+    trees = model.train(parts["train"], parts["validate"], max_iter=2).trees
+    for read, walked in zip(model._export(spark, trees), [model._walked(t, 2 * w) for t, w in zip(trees.trees, trees.treeWeights, strict=True)], strict=True):
+        inner = np.array(walked.feature) >= 0
+        for name in ("feature", "left", "right", "value", "weight"):
+            assert np.allclose(getattr(read, name), getattr(walked, name))
+        assert np.allclose(np.array(read.threshold, float)[inner], np.array(walked.threshold)[inner])
 
 
 def test_detector(spark):

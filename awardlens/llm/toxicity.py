@@ -10,12 +10,13 @@ FEATURES at most; then, from there, on all terms together. The machine is
     score(x) = sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)),
 
 so a pair of terms can weigh more than both together. x_i is log(1 + count) of the term, scaled by the log of the
-text's length. It is fitted on a bounded sample of labelled rows (``sample`` of either label, those with the
-least hash), with Adam, from a fixed seed.
+text's length. It is fitted on a bounded sample of labelled rows (about ``sample`` rows and ``sample_bytes`` bytes of
+text of either label at most, those with the least hash of id and text; rows alike in id, text and label train once),
+with Adam, from a fixed seed.
 
 Defined results: a null or empty text has no terms and gets the score of the bias; texts of any length are scored
 whole; labels that are null, or of unknown documents, are left out, and if one document has several labels, each
-counts; without labelled rows of both labels every score is the share of label 1 (0 without any). Repeated
+counts; without labelled rows of both labels, in the table or in the sample, every score is the share of label 1 (0 without any). Repeated
 documents get a row each, an empty table gives an empty table, other columns are not read.
 """
 
@@ -39,6 +40,7 @@ LEAST_FEATURES = 24
 SUPPORT = 2
 VISITS = 30_000
 SAMPLE = 12_000
+SAMPLE_BYTES = 128 << 20
 FACTORS = 6
 BROADCAST_ROWS = 2_000_000
 
@@ -177,8 +179,8 @@ def refine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, sta
     return float(bias), theta[:, 0].copy(), theta[:, 1:].copy()
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, n_features: int = FEATURES, sample: int = SAMPLE) -> Machine:
-    """The machine for the labelled rows. usable: a condition on the id; sample: rows of either label at most."""
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, n_features: int = FEATURES, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Machine:
+    """The machine for the labelled rows. usable: a condition on the id; sample, sample_bytes: rows of either label, and bytes of their texts, at most."""
     _store.bounded(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     if usable is not None:
@@ -188,40 +190,42 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {0: np.zeros(1 << bits, np.int64), 1: np.zeros(1 << bits, np.int64)}
-        rows = np.zeros(2, np.int64)
+        rows, size = np.zeros(2, np.int64), np.zeros(2, np.int64)
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
             rows += np.bincount(y, minlength=2)
             for i, j, b, at in _text.chunks(batch.column(0)):
+                np.add.at(size, y[i:j], np.diff(at))
                 h, doc, _ = term_hashes(b, at)
                 once = np.unique(doc * np.int64(1 << bits) + (h >> np.uint64(64 - bits)).astype(np.int64))
                 label = y[i:j][once >> bits]
                 for k in (0, 1):
                     total[k] += np.bincount(once[label == k] & ((1 << bits) - 1), minlength=1 << bits)
         seen = np.flatnonzero(total[0] + total[1])
-        yield pa.RecordBatch.from_arrays([_text.ints(np.append(seen, -1)), *(_text.ints(np.append(total[k][seen], rows[k])) for k in (0, 1))], names=["bucket", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([_text.ints(np.append(seen, [-1, -2])), *(_text.ints(np.append(total[k][seen], [rows[k], size[k]])) for k in (0, 1))], names=["bucket", "n0", "n1"])
 
-    # 2**bits + 1 rows at most come to the driver, to be ranked by smoothed log odds over their standard error.
-    # Bucket -1 has the rows themselves: labels of unknown documents aren't among them, and repeated rows count as often as their terms do.
+    # 2**bits + 2 rows at most come to the driver, to be ranked by smoothed log odds over their standard error.
+    # Bucket -1 has the rows themselves, -2 the bytes of their texts: labels of unknown documents aren't among them, and repeated rows count as often as their terms do.
     seen = texts.select("_t", "_y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("bucket").to_pandas()
-    n0, n1 = (int(seen.loc[seen["bucket"] == -1, k].sum()) for k in ("n0", "n1"))
-    none = np.full(1 << bits, -1, np.int64)
+    (n0, n1), sizes = ([int(seen.loc[seen["bucket"] == k, n].sum()) for n in ("n0", "n1")] for k in (-1, -2))
+    column_of = np.full(1 << bits, -1, np.int64)
+    toxic = min(max(n1 / max(n0 + n1, 1), 1e-9), 1 - 1e-9)
+    untaught = Machine(bits, column_of.copy(), float(np.log(toxic / (1 - toxic))), np.zeros(1), np.zeros((1, FACTORS)))
     if not n1 or not n0:
-        share = min(max(n1 / max(n0 + n1, 1), 1e-9), 1 - 1e-9)
-        return Machine(bits, none, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
+        return untaught
     seen = seen[seen["bucket"] >= 0]
     a, b = seen["n0"].to_numpy() + 0.5, seen["n1"].to_numpy() + 0.5
     z = np.abs(np.log(b / (n1 + 1 - b)) - np.log(a / (n0 + 1 - a))) / np.sqrt(1 / a + 1 / b)
     order = np.argsort(-z, kind="stable")[:n_features]
     best = seen["bucket"].to_numpy()[order[(z[order] > np.sqrt(2 * np.log(max(len(z), 2)))) | (np.arange(len(order)) < LEAST_FEATURES)]]
     rest = np.setdiff1d(seen["bucket"].to_numpy()[(seen["n0"] + seen["n1"]).to_numpy() >= SUPPORT], best)
-    column_of = none
     column_of[best] = np.arange(len(best))
     column_of[rest] = len(best) + np.arange(len(rest))
 
-    # The rows of either label whose hash is least: a threshold on the hash, no sort.
-    part = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / (1 << 30)
-    picked = texts.filter(F.when(F.col("_y") == 1, part < sample / n1).otherwise(part < sample / n0))
+    # The rows of either label whose hash is least: a threshold on the hash, no sort. The texts of one id have a hash each.
+    part = F.pmod(F.xxhash64("_id", "_t", F.lit(9)), F.lit(1 << 30)) / (1 << 30)
+    share = [min(sample / n, sample_bytes / max(1, size)) for n, size in zip((n0, n1), sizes, strict=True)]
+    picked = texts.filter(F.when(F.col("_y") == 1, part < share[1]).otherwise(part < share[0]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
                 cells = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (column.astype(np.int32), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), batch.column(1).slice(i, j - i), *cells], names=["h", "y", "c", "v"])
 
-    # About 8 bytes a term of a row; Arrow's own buffers hold them once, and rows are views of those.
-    got = picked.select("_t", "_y", F.xxhash64("_id", "_t").alias("_h")).mapInArrow(encode, "h long, y int, c array<int>, v array<float>").toArrow()
+    # Copies under one id, however many, come to the driver once. About 8 bytes a term of a row; Arrow's own buffers hold them
+    # once, and rows are views of those.
+    got = picked.select("_t", "_y", F.xxhash64("_id", "_t").alias("_h")).mapInArrow(encode, "h long, y int, c array<int>, v array<float>").dropDuplicates(["h", "y"]).toArrow()
     rows, key, y = [], got.column("h").to_numpy(), got.column("y").to_numpy().astype(float)
     for c, v in zip(got.column("c").chunks, got.column("v").chunks, strict=True):
         at = c.offsets.to_numpy()
@@ -239,6 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     del got
     order = np.lexsort((y, key))
     y, rows = y[order], [rows[k] for k in order]
+    if len(set(y)) < 2:  # the only texts of a label are longer than the sample may be
+        return untaught
     start = fit_machine([(c[c < len(best)], x[c < len(best)].astype(float)) for c, x in rows], y, max(1, len(best)))
     return Machine(bits, column_of, *refine(rows, y, max(1, len(best) + len(rest)), start, epochs=max(2, min(25, VISITS // max(1, len(rows))))))
 

@@ -151,6 +151,26 @@ def test_toxicity_repeated_rows(spark):
     assert got[1] > 0.5 and max(x for k, x in got.items() if k != 1) < 0.5
 
 
+def test_toxicity_sample_is_bounded(spark):
+    """Copies of one document train once, texts of one id have a hash each, and the bound in bytes is for each label."""
+    made = [(1, "vile grolm text", 1)] * 300 + [(7, f"plain words number {k}", 0) for k in range(600)] + [(k, f"vile grolm {k}", 1) for k in range(1000, 1030)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int").repartition(7)
+    labels = frame.select("doc_id", "toxic").distinct()
+    seen = []
+    kept, toxicity.refine = toxicity.refine, lambda rows, y, *a, **k: seen.append(y) or (0.0, np.zeros(1), np.zeros((1, toxicity.FACTORS)))
+    try:
+        toxicity.fit(frame.drop("toxic"), labels)
+        toxicity.fit(frame.drop("toxic"), labels, sample=300)
+        toxicity.fit(frame.drop("toxic"), labels, sample_bytes=6000)
+    finally:
+        toxicity.refine = kept
+    assert (seen[0].sum(), len(seen[0])) == (31, 631)
+    assert 240 < (seen[1] == 0).sum() < 360
+    assert 190 < (seen[2] == 0).sum() < 320 and seen[2].sum() == 31
+    # No toxic row fits: the share of toxic rows is all that is known.
+    assert abs(toxicity.fit(frame.drop("toxic"), labels, sample_bytes=1).score(pa.array(["x"]))[0] - 330 / 930) < 1e-6
+
+
 def expected_margin(machine, text):
     """The machine by its formula, with plain loops over words, beginnings and pairs."""
     words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())

@@ -6,6 +6,7 @@ worker needs follows the chunk and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,14 +65,28 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give the memory that is free in this process back to the system.
+
+    Workers are kept for later tasks and stages, and what the allocators hold meanwhile counts as the executor's.
+    """
+    if _POWERS and len(_POWERS[0]) > CHUNK + 64:
+        _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library alone has it
+    if trim is not None:
+        trim(0)
+
+
 def chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First row, row after the last, bytes and offsets of each chunk of the column."""
+    """First row, row after the last, bytes and offsets of each chunk of the column; then what the batch took is released."""
     data, at = raw(col)
     i = 0
     while i < len(col):
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    release()
 
 
 def spans(b: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

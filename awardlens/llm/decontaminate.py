@@ -166,9 +166,21 @@ class Shard:
 
 
 def _pieces(texts: pa.Array, window: int) -> Iterator[tuple[int, int, Shard]]:
-    """First document, document after the last, and the shard of each piece of a batch."""
-    for i, j, b, at in _text.chunks(texts, SHARD):
-        yield i, j, Shard.of(*_text.words(b, at, _text.ALNUM), window)
+    """First document, document after the last, and the shard of each piece of a batch.
+
+    A shard's words are hashed a chunk at a time, as that takes far more memory than the words.
+    """
+    first, size, parts, borders = 0, 0, [], [np.zeros(1, np.int64)]
+    for i, j, b, at in _text.chunks(texts):
+        if size and size + len(b) > SHARD:
+            yield first, i, Shard.of(np.concatenate(parts), np.concatenate(borders), window)
+            first, size, parts, borders = i, 0, [], [np.zeros(1, np.int64)]
+        h, own = _text.words(b, at, _text.ALNUM)
+        parts.append(h)
+        borders.append(borders[-1][-1] + own[1:])
+        size += len(b)
+    if parts:
+        yield first, len(texts), Shard.of(np.concatenate(parts), np.concatenate(borders), window)
 
 
 _SCHEMA = "shard long, ids array<{}>, own binary, vocabulary binary, number binary, suffixes binary"

@@ -247,7 +247,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     if len(set(y)) < 2:  # the only texts of a label are longer than the sample may be
         return untaught
     start = fit_machine([(c[c < len(best)], x[c < len(best)].astype(float)) for c, x in rows], y, max(1, len(best)))
-    return Machine(bits, column_of, *refine(rows, y, max(1, len(best) + len(rest)), start, epochs=max(2, min(25, VISITS // max(1, len(rows))))))
+    machine = Machine(bits, column_of, *refine(rows, y, max(1, len(best) + len(rest)), start, epochs=max(2, min(25, VISITS // max(1, len(rows))))))
+    # The driver lives on: nothing of the sample stays in it.
+    rows.clear()
+    c = v = columns = values = None
+    _text.release()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

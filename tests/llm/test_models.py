@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -236,3 +237,15 @@ def test_quality_measures_by_python():
         lines = [x for x in (t or "").split("\n") if x]
         assert got["lines"][k] == len(lines)
         assert got["line_again"][k] == pytest.approx(1 - len(set(lines)) / len(lines) if lines else 0)
+
+
+def test_language_cleaning_is_by_table():
+    """Texts are cleaned as the pattern has it, and a few million characters don't take seconds."""
+    texts = ["Stra\u00dfe, 12 Uhr; x_y \u00bd!", "", " 12 ", "\u0130stanbul", "\ud800a", "(a)", "a"]
+    points, at = langid._points(texts)
+    clean = [langid._OTHER.sub(" ", x.lower()).strip(" ") for x in texts]
+    assert ["".join(map(chr, points[s:e])) for s, e in zip(at[:-1], at[1:], strict=True)] == [f" {x} " if x else "" for x in clean]
+    assert [len(x) for x in langid._points([])] == [0, 1] and [len(x) for x in langid._points(["1"])] == [0, 2]
+    began = time.thread_time()
+    langid._points([" ".join(["plain", "words", "(or", "7)"] * 10) for _ in range(12_000)])
+    assert time.thread_time() - began < 1

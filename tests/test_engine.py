@@ -462,3 +462,17 @@ def test_no_query_claims_the_agreement_of_the_paths():
     from awardlens.queries import QUERIES
 
     assert "setting_agreement" in QUERIES and "batch_agreement" not in QUERIES
+
+
+def test_rows_are_not_shuffled_to_small_dimensions(spark):
+    """Lines and contracts' rows stay where they are for their part and seller, whatever the optimizer's own limit."""
+    from awardlens.sources import tables
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = tables.contracts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "hashpartitioning(l_suppkey" not in plan and "hashpartitioning(l_partkey" not in plan

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import LEGAL_SUFFIXES, PLACEHOLDERS, REGIONAL_MARKERS, EngineConfig
@@ -52,8 +52,13 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     return _features(s, d).select(p.alias("p"), metrics.target(CONFIG).alias("y"), F.concat_ws("-", *_ID).alias("id"))
 
 
+def _four(c: Column | str) -> Column:
+    """Four decimals as the SQL rounds them, by whole numbers of 1e-4: halves are those of the product, not those of the decimal text."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e4, 0) / 1e4
+
+
 def _r4(*names: str):
-    return [F.round(n, 4).alias(n) for n in names]
+    return [_four(n).alias(n) for n in names]
 
 
 def contract_grain(s: SparkSession, d: str) -> DataFrame:
@@ -74,7 +79,7 @@ def _vintage(ladder: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(s: SparkSession, d: str) -> DataFrame:
         cells = vintages.build(_usable(s, d), keys, CONFIG)
-        return cells.select(*keys, "m", *_r4("median"), "support_n", F.round(F.get("sketch", F.lit(5)), 4).alias("p05"), F.round(F.get("sketch", F.lit(75)), 4).alias("p75"), F.round(F.get("sketch", F.lit(100)), 4).alias("p100"))
+        return cells.select(*keys, "m", *_r4("median"), "support_n", *(_four(F.get("sketch", F.lit(k))).alias(n) for k, n in ((5, "p05"), (75, "p75"), (100, "p100"))))
 
     return query
 
@@ -85,7 +90,7 @@ def ladder_lookup(s: SparkSession, d: str) -> DataFrame:
 
 def feature_table(s: SparkSession, d: str) -> DataFrame:
     doubles = {"log_amount", "amount_vs_category_region_median", "amount_vs_practice_median", "amount_percentile_in_category_region"}
-    return _features(s, d).select(*_ID, *(F.round(c, 4).alias(c) if c in doubles else c for c in features.FEATURES))
+    return _features(s, d).select(*_ID, *(_four(c).alias(c) if c in doubles else c for c in features.FEATURES))
 
 
 def supplier_prior_count(s: SparkSession, d: str) -> DataFrame:

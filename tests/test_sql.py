@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import os
+import random
 
 import pytest
 
+from awardlens import queries
 from awardlens.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +40,19 @@ def test_query(spark, name):
 
 def test_every_query_has_sql_or_needs_none():
     assert set(QUERIES) - set(ORACLE_SQL) == {"lr_scores", "gbt_scores", "anomaly_flags", "classify_contracts"}
+
+
+def test_vintages_of_amounts_with_more_decimals(spark, monkeypatch, tmp_path):
+    """Amounts whose quantiles lie halfway between fourth decimals: the SQL's steps of interpolation and rounding decide."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    rows = [(rng.choice("ABC"), rng.randrange(100_000_000) / 1000 * 1.001**k, dt.date(2000, 1, 1) + dt.timedelta(days=rng.randrange(900))) for _ in range(1000) for k in range(6)]
+    contracts = spark.createDataFrame(rows, "procurement_category string, amount_usd double, signing_date date").filter("amount_usd > 0")
+    contracts.write.parquet(f"{tmp_path}/usable")
+    monkeypatch.setattr(queries, "_usable", lambda *_: contracts)
+    got = sorted(tuple(r) for r in QUERIES["vintage_category"](spark, "").collect())
+    usable = f"usable AS (SELECT *, year(signing_date) * 12 + month(signing_date) - 1 AS m FROM read_parquet('{tmp_path}/usable/*.parquet'))"
+    ending = ORACLE_SQL["vintage_category"].rpartition("usable AS MATERIALIZED (SELECT * FROM grain WHERE amount_usd > 0)")[2]
+    expected = sorted(duckdb.connect().execute(f"WITH {usable}{ending}").fetchall())
+    assert len(got) > 60
+    assert got == expected

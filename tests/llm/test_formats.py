@@ -216,6 +216,25 @@ def test_audio_query_stores_every_sample(spark):
         assert got[doc_id].split("/")[-1] == str(zlib.crc32(pcm.astype("<i2").tobytes()))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_audio_query_resamples(spark):
+    """Its features are those of digest, with the stored PCM at 16 kHz before the last one."""
+    got = {r["doc_id"]: r["feature"] for r in queries.op6_telephony_audio(spark, SF).select("doc_id", "feature").collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows) > 0
+    for k, (doc_id, text) in enumerate(rows):
+        p = np.frombuffer(media.unpack(media.pack((text or "").encode()))[2], np.uint8)
+        pcm = media.MU_LAW_PCM[p]
+        wide = media.resample(pcm, 8000, 16000)
+        peak, rms = np.abs(wide.astype(int)).max(), math.sqrt((wide.astype(int) ** 2).sum() / len(wide))
+        cross = ((wide[1:] < 0) != (wide[:-1] < 0)).sum()
+        parts = got[doc_id].split("/")
+        assert parts[-6:-1] == [str(2 * len(pcm)), str(cross), str(peak), f"{rms:.3f}", str(zlib.crc32(wide.astype("<i2").tobytes()))]
+        if k < 3:
+            assert np.abs(wide[:600] - resample_one(pcm[:400], 8000, 16000)[:600]).max() <= 0.51
+            assert "/".join([*parts[:-6], parts[-1]]) == features_one(p.tobytes(), pcm.astype("<i2").tobytes())
+
+
 def scan_one(text):
     """The closest templates of a text's units, by plain loops."""
     low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

@@ -31,7 +31,8 @@ def _clean(s: SparkSession, d: str) -> DataFrame:
 
 
 def _usable(s: SparkSession, d: str) -> DataFrame:
-    return clean.usable(clean.contract_grain(_clean(s, d)))
+    """The SQL's usable contracts, which need no date."""
+    return clean.contract_grain(_clean(s, d)).filter("amount_usd > 0")
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
@@ -78,7 +79,7 @@ def _vintage(ladder: str) -> Callable[[SparkSession, str], DataFrame]:
     keys = vintages.LADDERS[ladder]
 
     def query(s: SparkSession, d: str) -> DataFrame:
-        cells = vintages.build(_usable(s, d), keys, CONFIG)
+        cells = vintages.build(_usable(s, d), keys, CONFIG, unknown=True)
         return cells.select(*keys, "m", *_r4("median"), "support_n", *(_four(F.get("sketch", F.lit(k))).alias(n) for k, n in ((5, "p05"), (75, "p75"), (100, "p100"))))
 
     return query
@@ -233,7 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fiscal_year_coverage": lambda s, d: reports.fiscal_year_coverage(_clean(s, d), CONFIG),
     "region_coverage": lambda s, d: reports.region_coverage(_clean(s, d)),
     "review_slice": lambda s, d: reports.review_slice(_clean(s, d)),
-    "vintage_trend": lambda s, d: reports.vintage_trend(vintages.build(_usable(s, d), ("procurement_category",), CONFIG)),
+    "vintage_trend": lambda s, d: reports.vintage_trend(vintages.build(_usable(s, d), ("procurement_category",), CONFIG, unknown=True)),
     "vintage_coverage": lambda s, d: reports.vintage_coverage(_features(s, d)),
     "method_counts": lambda s, d: reports.method_counts(_clean(s, d), CONFIG),
     "degenerate_records": lambda s, d: reports.degenerate(_checked(s, d)).select(*_ID, "amount_usd"),

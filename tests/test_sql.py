@@ -72,3 +72,20 @@ def test_lines_without_part_or_supplier(spark, tmp_path, name):
     expected = sorted(([plain(x) for x in r] for r in cursor.fetchall()), key=repr)
     assert len(expected) > 50
     assert sorted(([plain(r[c]) for c in names] for r in df.collect()), key=repr) == expected
+
+
+@pytest.mark.parametrize("name", ["vintage_category", "vintage_category_region", "vintage_trend"])
+def test_vintages_of_unknown_groups_and_days(spark, tmp_path, name):
+    """Contracts without a category, without a date, or with an amount beyond all."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    odd = {"customer": " REPLACE (CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS c_mktsegment)", "orders": " REPLACE (CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate END AS o_orderdate, CASE WHEN o_orderkey % 400 = 5 THEN 'inf'::DOUBLE ELSE o_totalprice END AS o_totalprice)"}
+    for t in TABLES:
+        db.execute(f"copy (select *{odd.get(t, '')} from read_parquet('{SF}/{t}.parquet')) to '{tmp_path}/{t}.parquet' (format parquet)")
+        db.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    cursor = db.execute(ORACLE_SQL[name])
+    names = [x[0] for x in cursor.description]
+    expected = sorted(([plain(x) for x in r] for r in cursor.fetchall()), key=repr)
+    assert any(r[0] is None for r in expected) and any(None in r[1:] for r in expected) or name == "vintage_trend"
+    assert sorted(([plain(r[c]) for c in names] for r in df.collect()), key=repr) == expected

@@ -316,6 +316,17 @@ def test_detector(spark):
     assert "benchmark_support_n" not in anomaly.PHRASES
 
 
+def test_detector_rows_reach_the_driver_once(spark):
+    """The rows of least hash are those that sorting all would give, but no partition sends as many as are asked for."""
+    rows = spark.range(4000, numPartitions=8).select((F.col("id") % 900).cast("double").alias("log_amount"), (F.col("id") % 7).alias("consortium_size"))
+    cells = [F.col("log_amount"), F.col("consortium_size").cast("double")]
+    plain = rows.select(F.array(*cells).alias("x"), F.xxhash64(*cells, F.lit(0)).alias("h")).orderBy("h", "x")
+    for n in (1, 500, 4000, 9000):
+        assert anomaly._picked(rows, cells, n, 0).tolist() == [r["x"] for r in plain.limit(n).collect()]
+    with pytest.raises(ValueError):
+        anomaly._picked(rows.limit(0), cells, 5, 0)
+
+
 def test_explanations(spark):
     detector = anomaly.Detector(anomaly.grow(np.zeros((4, 2)), 1), ("log_amount", "amount_vs_practice_median", "consortium_size", "is_competitive_method"), 0.0, {"log_amount": [float(k) for k in range(101)], "amount_vs_practice_median": [float(k) for k in range(101)], "consortium_size": [1.0] * 95 + [2.0] * 6}, {"is_competitive_method": {True: 0.9, False: 0.1}}, DEFAULT)
     rows = spark.createDataFrame([(99.0, 100.0, 1, True), (50.0, 50.0, 1, True), (50.0, 0.0, 1, False), (None, None, 2, None)], "log_amount double, amount_vs_practice_median double, consortium_size int, is_competitive_method boolean")

@@ -230,6 +230,17 @@ def test_model(spark):
         model.train(parts["train"], parts["validate"], "other")
 
 
+def test_rows_alike_are_trained_on_once(spark, monkeypatch):
+    """Trees get each row once, weighted by its number, and their nodes count all rows."""
+    parts, seen, fit = metrics.split(eligible_rows(spark, 300)), [], model.GBTClassifier.fit
+    monkeypatch.setattr(model.GBTClassifier, "fit", lambda self, rows: seen.append(rows.agg(F.count("*"), F.sum("w")).first()) or fit(self, rows))
+    thrice = parts["train"].crossJoin(spark.range(3).select(F.col("id").alias("copy")))
+    fitted = model.train(thrice, parts["validate"], max_iter=2)
+    n = parts["train"].count()
+    assert tuple(seen[0]) == (n, 3 * n)
+    assert all(t.weight[0] == 3 * n for t in model._export(spark, fitted.trees))
+
+
 def test_contributions_add_up(spark):
     parts = metrics.split(eligible_rows(spark))
     for kind, options in (("logistic", {}), ("gbt", {"max_iter": 3})):
